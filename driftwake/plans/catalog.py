@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from driftwake.plans import fixtures, oracles_vessel, queries_vessel
+from driftwake.plans import fixtures, oracles_attribution, oracles_vessel, queries_attribution, queries_vessel
 
-FLAGSHIP = "trust_scores"
-_PLANS = (queries_vessel.QUERIES,)
-_ORACLES = (oracles_vessel.ORACLES,)
+FLAGSHIP = "posterior_rank"
+_PLANS = (queries_vessel.QUERIES, queries_attribution.QUERIES)
+_ORACLES = (oracles_vessel.ORACLES, oracles_attribution.ORACLES)
 
 
 def queries() -> dict:

@@ -10,8 +10,13 @@ from driftwake.operators import behaviour, tracks, trust
 from driftwake.plans.fixtures import table
 
 
+# Durations divide whole microseconds; these digits can never fall on a rounding tie.
+_DURATIONS = {"hours": 10, "run_hours": 10, "dwell_h": 10, "age_hours": 10, "minutes": 9, "duration_min": 9}
+
+
 def rounded(df: DataFrame, default: int = 6, **places: int) -> DataFrame:
     """Fix the printed precision of double columns."""
+    places = {**_DURATIONS, **places}
     return df.select(*[F.round(c, places.get(c, default)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
