@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from driftwake.plans import fixtures, oracles_attribution, oracles_vessel, queries_attribution, queries_vessel
+from driftwake.plans import (
+    fixtures,
+    oracles_attribution,
+    oracles_quality,
+    oracles_vessel,
+    queries_attribution,
+    queries_quality,
+    queries_vessel,
+)
 
 FLAGSHIP = "posterior_rank"
-_PLANS = (queries_vessel.QUERIES, queries_attribution.QUERIES)
-_ORACLES = (oracles_vessel.ORACLES, oracles_attribution.ORACLES)
+_PLANS = (queries_vessel.QUERIES, queries_attribution.QUERIES, queries_quality.QUERIES)
+_ORACLES = (oracles_vessel.ORACLES, oracles_attribution.ORACLES, oracles_quality.ORACLES)
 
 
 def queries() -> dict:

@@ -6,10 +6,13 @@ import math
 import sys
 import time
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 
-from driftwake.plans.fixtures import RAW_TABLES
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from driftwake.plans.fixtures import RAW_TABLES  # noqa: E402
 
 
 def duck(sf_dir: str):
