@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from driftwake.config import DEFAULT, Config
 from driftwake.functions import geo
 from driftwake.operators.ordered import HOUR_US, TRACK_BUCKET_US, carry_forward, neighbours, runs, time_bucket
+from driftwake.session import checkpoint
 
 MIN_FIXES = 12
 UNDERWAY_KN = 3.0
@@ -112,7 +113,8 @@ def loiter(ais: DataFrame, norms: DataFrame | None = None) -> DataFrame:
     """Longest hour-plus window under 2 kn mean and 3 km net, bracketed by movement; ties keep the first."""
     n = eligible(norms if norms is not None else vessel_norms(ais)).select("mmsi", "first_move_us", "last_move_us")
     rows = ais.join(n, "mmsi").select("mmsi", "t_us", "lat", "lon", "sog", "first_move_us", "last_move_us")
-    marked = (rows.join(hop_nodes(rows).withColumnRenamed("node_us", "t_us").withColumn("is_node", F.lit(True)),
+    nodes = checkpoint(hop_nodes(rows))  # four readers below; the chain is far shorter than the track
+    marked = (rows.join(nodes.withColumnRenamed("node_us", "t_us").withColumn("is_node", F.lit(True)),
                         ["mmsi", "t_us"], "left")
               .withColumn("_bucket", time_bucket("t_us")).withColumn("_mark", F.when(F.col("is_node"), F.col("t_us"))))
     owned = carry_forward(marked, ["mmsi"], ["t_us"], "_mark", "node_us")
@@ -144,7 +146,7 @@ def night_share(ais: DataFrame) -> DataFrame:
 def behaviour_priors(ais: DataFrame, gap_vessels: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Codes and the product of their multipliers per vessel. ``gap_vessels`` (mmsi) carry an AIS_GAP trust flag."""
     p = cfg.priors
-    norms = vessel_norms(ais)
+    norms = checkpoint(vessel_norms(ais))
 
     def code(df: DataFrame, name: str, factor: float) -> DataFrame:
         return df.select("mmsi", F.lit(name).alias("code"), F.lit(factor).alias("factor"))

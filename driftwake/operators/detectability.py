@@ -43,7 +43,8 @@ def assess(requests: DataFrame, cells: list[tuple[float, float, float]]) -> Data
     return d.select("request_id", "sensor", "pixels_on_target", "resolves", F.col("usable").alias("usable_pass_fraction"),
                     F.when(F.col("sensor") == MEASURED, F.col("_hit.r")).alias("measured_rate"), "wait_h",
                     F.coalesce(caught, F.lit(False)).alias("caught"),
-                    F.least(F.lit(1.0), F.col("persistence_hours") / F.col("wait_h")).alias("catch_probability"),
+                    F.when(F.col("wait_h").isNotNull(), F.least(F.lit(1.0), F.col("persistence_hours") / F.col("wait_h"))).alias(
+                        "catch_probability"),
                     verdict.alias("verdict"))
 
 

@@ -117,7 +117,7 @@ select 900000+mmsi%100000 target_id, round(lat+case when mmsi%2=0 then 0.004e0 e
     "observations": """
 select concat('obs-', cast(page_id as <str>)) observation_id, case page_id%3 when 0 then 'REAL_REPLAY' when 1 then 'SYNTHETIC' else 'LIVE_NRT' end mode, url product, case when page_id%4=0 then null else page_id*3600000000 end acquired_us, page_id%3<>2 pixels_local from {pages}""",
     "audit": """
-select seq, incident_id, body, <sha body> chain_hash, case when seq%400=0 then 'broken' else lag(<sha body>,1,'0') over (order by seq) end prev_hash
+select seq, incident_id, case when seq%333=5 then concat(body,'!') else body end body, <sha body> chain_hash, case when seq%400=0 then 'broken' else lag(<sha body>,1,'0') over (order by seq) end prev_hash
 from (select o_orderkey seq, o_custkey incident_id, concat('body-', cast(o_orderkey as <str>), '-', o_orderstatus) body from {orders}) q""",
     # detection questions asked of the sensors: one slick area and contrast per part
     "requests": """
