@@ -6,15 +6,19 @@ from driftwake.plans import (
     fixtures,
     oracles_attribution,
     oracles_quality,
+    oracles_raster,
     oracles_vessel,
     queries_attribution,
     queries_quality,
+    queries_raster,
     queries_vessel,
 )
 
 FLAGSHIP = "posterior_rank"
-_PLANS = (queries_vessel.QUERIES, queries_attribution.QUERIES, queries_quality.QUERIES)
-_ORACLES = (oracles_vessel.ORACLES, oracles_attribution.ORACLES, oracles_quality.ORACLES)
+_PLANS = (queries_vessel.QUERIES, queries_attribution.QUERIES, queries_quality.QUERIES,
+          queries_raster.QUERIES)
+_ORACLES = (oracles_vessel.ORACLES, oracles_attribution.ORACLES, oracles_quality.ORACLES,
+            oracles_raster.ORACLES)
 
 
 def queries() -> dict:
