@@ -5,23 +5,24 @@ from __future__ import annotations
 _DIM = "dim as (select scene_id, max(row_id) nr, max(col_id) nc from {pixels} group by scene_id)"
 _DB = "px as (select scene_id, row_id, col_id, dn, case when dn>0 then dn/255.0e0*30.0e0-30.0e0 end db, case when dn>0 then pow(10.0e0,(dn/255.0e0*30.0e0-30.0e0)/10.0e0) else 0.0e0 end lin from {pixels})"
 _CFAR = _DIM + "," + _DB + """,
-nb as (select p.scene_id, p.row_id, p.col_id, any_value(p.lin) lin, sum(q.lin) so, sum(q.lin*q.lin) qo, sum(case when abs(dr)<=4 and abs(dc)<=4 then q.lin else 0.0e0 end) sg, sum(case when abs(dr)<=4 and abs(dc)<=4 then q.lin*q.lin else 0.0e0 end) qg
-  from px p join dim using (scene_id) cross join unnest(range(-12,13)) as a(dr) cross join unnest(range(-12,13)) as b(dc) join px q on q.scene_id=p.scene_id and q.row_id=least(nr,greatest(0,p.row_id+dr)) and q.col_id=least(nc,greatest(0,p.col_id+dc)) group by p.scene_id, p.row_id, p.col_id),
+h0 as (select p.scene_id, p.row_id, p.col_id, sum(q.lin) so, sum(q.lin*q.lin) qo, sum(case when abs(dc)<=4 then q.lin else 0.0e0 end) sg, sum(case when abs(dc)<=4 then q.lin*q.lin else 0.0e0 end) qg
+  from px p join dim using (scene_id) cross join unnest(range(-12,13)) as b(dc) join px q on q.scene_id=p.scene_id and q.row_id=p.row_id and q.col_id=least(nc,greatest(0,p.col_id+dc)) group by p.scene_id, p.row_id, p.col_id),
+nb as (select p.scene_id, p.row_id, p.col_id, any_value(p.lin) lin, sum(q.so) so, sum(q.qo) qo, sum(case when abs(dr)<=4 then q.sg else 0.0e0 end) sg, sum(case when abs(dr)<=4 then q.qg else 0.0e0 end) qg
+  from px p join dim using (scene_id) cross join unnest(range(-12,13)) as a(dr) join h0 q on q.scene_id=p.scene_id and q.col_id=p.col_id and q.row_id=least(nr,greatest(0,p.row_id+dr)) group by p.scene_id, p.row_id, p.col_id),
 cz as (select scene_id, row_id, col_id, (lin-(so-sg)/544.0e0)/sqrt(greatest((qo-qg)/544.0e0-pow((so-sg)/544.0e0,2),1e-12)) z from nb)"""
 
 
-def _grow(src: str, out: str, k: int) -> str:
-    return (f"{out} as (select p.scene_id, p.row_id, p.col_id, case when exists (select 1 from {src} q where q.scene_id=p.scene_id and q.m=1 and q.row_id between p.row_id-{k} and p.row_id+{k} and q.col_id between p.col_id-{k} and p.col_id+{k}) then 1 else 0 end m from {src} p)"
-            if k == 0 else
-            f"{out} as (select p.scene_id, p.row_id, p.col_id, max(q.m) m from {src} p cross join unnest(range(-{k},{k}+1)) as a(dr) cross join unnest(range(-{k},{k}+1)) as b(dc) join {src} q on q.scene_id=p.scene_id and q.row_id=p.row_id+dr and q.col_id=p.col_id+dc group by p.scene_id, p.row_id, p.col_id)")
+def _pass(src: str, out: str, k: int, axis: str, fn: str) -> str:
+    """One axis of a square dilation (max) or erosion (all 2k+1 neighbours present and set)."""
+    other = "row_id" if axis == "col_id" else "col_id"
+    value = "max(q.m)" if fn == "grow" else f"case when sum(q.m)={2 * k + 1} then 1 else 0 end"
+    return (f"{out} as (select p.scene_id, p.row_id, p.col_id, {value} m from {src} p cross join unnest(range(-{k},{k}+1)) as a(o) "
+            f"join {src} q on q.scene_id=p.scene_id and q.{other}=p.{other} and q.{axis}=p.{axis}+o group by p.scene_id, p.row_id, p.col_id)")
 
 
-def _shrink(src: str, out: str, k: int) -> str:
-    return f"{out} as (select p.scene_id, p.row_id, p.col_id, case when sum(q.m)={(2 * k + 1) ** 2} then 1 else 0 end m from {src} p cross join unnest(range(-{k},{k}+1)) as a(dr) cross join unnest(range(-{k},{k}+1)) as b(dc) join {src} q on q.scene_id=p.scene_id and q.row_id=p.row_id+dr and q.col_id=p.col_id+dc group by p.scene_id, p.row_id, p.col_id)"
-
-
-_MORPH = ",".join(["m0 as (select scene_id, row_id, col_id, case when dn between 1 and 40 or dn>150 then 1 else 0 end m from {pixels})",
-                   _grow("m0", "m1", 2), _shrink("m1", "m2", 2), _shrink("m2", "m3", 2), _grow("m3", "m4", 2)])
+_MORPH = "m0 as (select scene_id, row_id, col_id, case when dn between 1 and 40 or dn>150 then 1 else 0 end m from {pixels})," + ",".join(
+    _pass(f"m{i}", f"m{i + 1}", 2, "row_id" if i % 2 else "col_id", fn)
+    for i, fn in enumerate(("grow", "grow", "shrink", "shrink", "shrink", "shrink", "grow", "grow")))
 _DIA = "(values (0,0),(0,1),(0,-1),(1,0),(-1,0),(0,2),(0,-2),(2,0),(-2,0),(1,1),(1,-1),(-1,1),(-1,-1)) o(dr,dc)"
 _REACH = """
 s as (select scene_id, row_id, col_id, row_id*16777216+col_id id from {pixels} where dn between 1 and 60 or dn>200),
@@ -48,7 +49,7 @@ ORACLES: dict[str, str] = {
     "scene_percentiles": "with " + _DB + " select scene_id, round(quantile_cont(db,0.01),6) p01, round(quantile_cont(db,0.05),6) p05, round(quantile_cont(db,0.5),6) p50, round(quantile_cont(db,0.95),6) p95, round(quantile_cont(db,0.99),6) p99 from px where db is not null group by scene_id",
     "cfar_windows": "with " + _CFAR + " select scene_id, row_id, col_id, round(z,4) z, z>4.5e0 is_bright from cz",
     "cfar_summary": "with " + _CFAR + " select scene_id, count(*) pixels, count(*) filter (where z>4.5e0) detected_pixels, round(avg(case when z>4.5e0 then 1.0e0 else 0.0e0 end),9) false_alarm_rate from cz group by scene_id",
-    "morphology": "with " + _MORPH + " select scene_id, row_id, col_id, cast(m as bigint) m from m4",
+    "morphology": "with " + _MORPH + " select scene_id, row_id, col_id, cast(m as bigint) m from m8",
     "edge_gradient": "with " + _DB + "," + _DIM + """,
 f as (select scene_id, row_id, col_id, coalesce(db,-30.0e0) f, case when dn between 1 and 60 then 1 else 0 end m from px),
 gr as (select *, (coalesce(lead(f) over h,f)-coalesce(lag(f) over h,f))/nullif(coalesce(lead(col_id) over h,col_id)-coalesce(lag(col_id) over h,col_id),0) dh, (coalesce(lead(f) over v,f)-coalesce(lag(f) over v,f))/nullif(coalesce(lead(row_id) over v,row_id)-coalesce(lag(row_id) over v,row_id),0) dv from f window h as (partition by scene_id,row_id order by col_id), v as (partition by scene_id,col_id order by row_id)),
