@@ -7,18 +7,20 @@ from driftwake.plans import (
     oracles_attribution,
     oracles_quality,
     oracles_raster,
+    oracles_scene,
     oracles_vessel,
     queries_attribution,
     queries_quality,
     queries_raster,
+    queries_scene,
     queries_vessel,
 )
 
 FLAGSHIP = "posterior_rank"
 _PLANS = (queries_vessel.QUERIES, queries_attribution.QUERIES, queries_quality.QUERIES,
-          queries_raster.QUERIES)
+          queries_raster.QUERIES, queries_scene.QUERIES)
 _ORACLES = (oracles_vessel.ORACLES, oracles_attribution.ORACLES, oracles_quality.ORACLES,
-            oracles_raster.ORACLES)
+            oracles_raster.ORACLES, oracles_scene.ORACLES)
 
 
 def queries() -> dict:

@@ -64,8 +64,8 @@ from (select *, k from {steps} <gen 0,23,k>) g""",
     # three elongated detections per incident
     "slick_points": """
 select incident_id*3+d slick_id, incident_id, cast(k as bigint) k,
-  round(cx+0.4e0*d+(0.10e0+0.002e0*(incident_id%20))*cos(radians(10.0e0*k))*cos(radians(17.0e0+25.0e0*d+incident_id%40))-0.03e0*sin(radians(10.0e0*k))*sin(radians(17.0e0+25.0e0*d+incident_id%40)),6) x,
-  round(cy-0.3e0*d+(0.10e0+0.002e0*(incident_id%20))*cos(radians(10.0e0*k))*sin(radians(17.0e0+25.0e0*d+incident_id%40))+0.03e0*sin(radians(10.0e0*k))*cos(radians(17.0e0+25.0e0*d+incident_id%40)),6) y
+  round(cx+0.4e0*d+(0.10e0+0.002e0*(incident_id%20))*cos(radians(10.0e0*k))*cos(radians(17.37e0+25.0e0*d+incident_id%40))-0.03e0*sin(radians(10.0e0*k))*sin(radians(17.37e0+25.0e0*d+incident_id%40)),6) x,
+  round(cy-0.3e0*d+(0.10e0+0.002e0*(incident_id%20))*cos(radians(10.0e0*k))*sin(radians(17.37e0+25.0e0*d+incident_id%40))+0.03e0*sin(radians(10.0e0*k))*cos(radians(17.37e0+25.0e0*d+incident_id%40)),6) y
 from (select *, cast(d0 as bigint) d from (select *, d0 from {incidents} <gen 0,2,d0>) a) b <gen 0,35,k>""",
     # one gridded wind/current field per incident; some retrievals are missing
     "env": """
@@ -111,7 +111,7 @@ from (select p_partkey, (select cast(count(*) as double) from {part}) n from {pa
     "horizons": """
 select l_orderkey incident_id, cast(l_linenumber*6 as bigint) horizon_hours,
   round(greatest(0.0e0, 8.0e0+(l_orderkey%30)+min(l_quantity)/10.0e0-6.0e0*l_linenumber*(0.2e0+0.3e0*(l_orderkey%4))),3) distance_km,
-  floor(max(l_extendedprice)/4.0e0)/100.0e0 area_km2 from {lineitem} group by l_orderkey, l_linenumber""",
+  floor(max(l_extendedprice)/4.0e0)/100.0e0+0.003e0 area_km2 from {lineitem} group by l_orderkey, l_linenumber""",
     "targets": """
 select 900000+mmsi%100000 target_id, round(lat+case when mmsi%2=0 then 0.004e0 else 0.03e0 end,6) lat, round(lon-0.003e0,6) lon, t_us from (select *, row_number() over (partition by mmsi order by abs(t_us-(select min(<us>)+21600000000 from {events})), event_id) rn from {ais}) q where rn=1 and mmsi%3=0""",
     "observations": """
