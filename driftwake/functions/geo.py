@@ -119,10 +119,13 @@ def ring_perimeter(ring: Column) -> Column:
 def ring_centroid(ring: Column) -> Column:
     """Area centroid; coordinates are taken relative to the first vertex to keep the sums well conditioned."""
     o = F.get(ring, F.lit(0))
-    rel = F.transform(ring, lambda p: F.struct((p.x - o.x).alias("x"), (p.y - o.y).alias("y")))
-    a = ring_signed_area(rel) * 6.0
-    cx = _closed(rel, lambda p, q: (p.x + q.x) * (p.x * q.y - q.x * p.y))
-    cy = _closed(rel, lambda p, q: (p.y + q.y) * (p.x * q.y - q.x * p.y))
+
+    def twice_area(p, q):
+        return (p.x - o.x) * (q.y - o.y) - (q.x - o.x) * (p.y - o.y)
+
+    a = _closed(ring, twice_area) * 3.0
+    cx = _closed(ring, lambda p, q: (p.x + q.x - 2.0 * o.x) * twice_area(p, q))
+    cy = _closed(ring, lambda p, q: (p.y + q.y - 2.0 * o.y) * twice_area(p, q))
     return F.struct((o.x + F.try_divide(cx, a)).alias("x"), (o.y + F.try_divide(cy, a)).alias("y"))
 
 

@@ -1,0 +1,35 @@
+"""The whole attribution chain on one set of tables: reverse drift to ranked vessels."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from driftwake.config import DEFAULT, Config
+from driftwake.operators import attribution as at
+from driftwake.operators import behaviour, drift, tracks, trust
+from driftwake.session import checkpoint
+
+
+def vessel_priors(ais: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """(mmsi, trust_prior, behaviour_prior, vessel_type, ...) over every vessel; ``ais`` carries vessel_type."""
+    scores = checkpoint(trust.trust_scores(ais, cfg=cfg))
+    gap = scores.filter(F.array_contains("codes", "AIS_GAP")).select("mmsi")
+    moves = behaviour.behaviour_priors(ais, gap, cfg).withColumnRenamed("codes", "behaviour_codes")
+    return (scores.select("mmsi", "classification", "trust_prior").join(moves, "mmsi")
+            .join(tracks.static_by_vessel(ais, "vessel_type"), "mmsi"))
+
+
+def attribute(ais: DataFrame, slicks: DataFrame, env: DataFrame, offences: DataFrame, hours: int = 16, particles: int = 250,
+              cfg: Config = DEFAULT) -> DataFrame:
+    """Ranked vessels per incident from tracks, observed slicks (incident_id, acq_us, ring) and wind/current fields.
+
+    Small intermediate tables read by several later stages (origin outlines, candidates, scored releases,
+    priors) are checkpointed, so a lost executor replays only its own stage.
+    """
+    steps = checkpoint(drift.reverse_drift(slicks, env, hours, cfg=cfg))
+    top = checkpoint(at.top_candidates(at.candidate_rollup(at.envelope_hits(ais, steps)), cfg))
+    releases = checkpoint(at.release_hypotheses(ais, top, slicks).join(slicks.select("incident_id", "acq_us"), "incident_id"))
+    scored = checkpoint(at.score(drift.simulate_releases(releases, drift.release_segments(ais, releases, cfg), slicks, env, particles, cfg), cfg))
+    best = at.best_hypotheses(scored)
+    return at.rank_posteriors(best, vessel_priors(ais, cfg), at.gap_coincidence(ais, best), offences, cfg)

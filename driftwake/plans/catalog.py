@@ -10,6 +10,7 @@ from driftwake.plans import (
     oracles_scene,
     oracles_vessel,
     queries_attribution,
+    queries_drift,
     queries_quality,
     queries_raster,
     queries_scene,
@@ -18,7 +19,8 @@ from driftwake.plans import (
 
 FLAGSHIP = "posterior_rank"
 _PLANS = (queries_vessel.QUERIES, queries_attribution.QUERIES, queries_quality.QUERIES,
-          queries_raster.QUERIES, queries_scene.QUERIES)
+          queries_raster.QUERIES, queries_scene.QUERIES,
+          queries_drift.QUERIES)
 _ORACLES = (oracles_vessel.ORACLES, oracles_attribution.ORACLES, oracles_quality.ORACLES,
             oracles_raster.ORACLES, oracles_scene.ORACLES)
 

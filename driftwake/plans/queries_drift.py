@@ -1,0 +1,40 @@
+"""Registered drift jobs: random-walk physics, so rows only; tests check their invariants."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from driftwake.functions.vessel import vessel_type_label
+from driftwake.operators import drift
+from driftwake.plans.attribution import attribute
+from driftwake.plans.fixtures import table
+from driftwake.plans.queries_scene import slick_rings
+from driftwake.plans.queries_vessel import rounded
+
+
+def _slicks(s: SparkSession, d: str) -> DataFrame:
+    """The first detection of each incident with its acquisition time and a nominal age."""
+    return slick_rings(s, d).filter("slick_id = incident_id * 3").join(
+        table(s, d, "incidents").select("incident_id", "acq_us"), "incident_id").select(
+        "incident_id", "acq_us", F.lit(4.0).alias("age_h"), F.transform("ring", lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("ring"))
+
+
+def _attribute(s: SparkSession, d: str) -> DataFrame:
+    ais = table(s, d, "ais").withColumn("vessel_type", vessel_type_label(F.col("type_code")))
+    r = attribute(ais, _slicks(s, d), table(s, d, "env"), table(s, d, "offences"), particles=120)
+    return rounded(r).select("incident_id", "mmsi", "rank", "k", "release_us", "iou", "offset_km", "score", "likelihood", "posterior")
+
+
+def _replay(s: SparkSession, d: str) -> DataFrame:
+    i = table(s, d, "incidents").select("incident_id", F.lit(0).cast("bigint").alias("mmsi"), F.lit(0).cast("bigint").alias("k"), "acq_us",
+                                        (F.col("acq_us") - 14_400_000_000).alias("release_us"), F.col("cy").alias("release_lat"), F.col("cx").alias("release_lon"))
+    return drift.replay_frames(i, table(s, d, "env"), particles=40)
+
+
+QUERIES = {
+    "reverse_drift": lambda s, d: drift.reverse_drift(_slicks(s, d), table(s, d, "env"), particles=200).withColumn("vertices", F.size("ring")).drop("ring"),
+    "forecast": lambda s, d: drift.forecast(_slicks(s, d), table(s, d, "env"), particles=200).withColumn("vertices", F.size("ring")).drop("ring", "cone"),
+    "drift_replay": _replay,
+    "attribute": _attribute,
+}

@@ -41,3 +41,10 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
             shared = tempfile.mkdtemp(prefix="driftwake-ckpt-")
         sc.setCheckpointDir(shared)
     return df.checkpoint(eager)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition compute-heavy groups over all shuffle partitions. The rows are few but each costs
+    seconds of work, so coalescing them by bytes would run them one after another."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
