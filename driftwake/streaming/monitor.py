@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from driftwake.functions.vessel import monitor_result
 from driftwake.operators import baseline
 from driftwake.operators.catalogue import unseen
+from driftwake.session import checkpoint as reliable
 
 GAP_SCHEMA = "mmsi long, start_us long, end_us long, duration_min double, is_open boolean"
 WATERMARK = "10 minutes"
@@ -52,7 +54,7 @@ class GapDetector(StatefulProcessor):
         self.handle = handle
         self.last = handle.getValueState("last", "t_us long")
 
-    def handleInputRows(self, key, rows, timer_values):
+    def handleInputRows(self, key, rows, timerValues):
         times = sorted(t for pdf in rows for t in pdf["t_us"].tolist())
         out = []
         prev = self.last.get()[0] if self.last.exists() else None
@@ -66,9 +68,9 @@ class GapDetector(StatefulProcessor):
         self.handle.registerTimer((prev + self.gap_us) // 1000 + 1)
         yield pd.DataFrame(out, columns=["mmsi", "start_us", "end_us", "duration_min", "is_open"])
 
-    def handleExpiredTimer(self, key, timer_values, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         prev = self.last.get()[0]
-        now = timer_values.getCurrentWatermarkInMs() * 1000
+        now = timerValues.getCurrentWatermarkInMs() * 1000
         yield pd.DataFrame([(key[0], prev, now, (now - prev) / 6e7, True)], columns=["mmsi", "start_us", "end_us", "duration_min", "is_open"])
 
     def close(self) -> None:
@@ -95,25 +97,18 @@ def watch_products(spark: SparkSession, folder: str, schema: str, store: str, ch
         s = batch.sparkSession
         known = _stored(s, f"{store}/done", "observation_id string")
         fresh = unseen(batch.dropDuplicates(["observation_id"]), known)
-        done = process(fresh).withColumn("batch_id", F.lit(batch_id)).persist()
+        done = reliable(process(fresh).withColumn("batch_id", F.lit(batch_id)))
         done.filter("error is null").drop("error").write.mode("append").parquet(f"{store}/done")
         done.filter("error is not null").select("observation_id", "error", "batch_id").write.mode("append").parquet(f"{store}/errors")
-        status = done.agg(F.count_if("error is null").alias("processed"), F.count_if("error is not null").alias("failed"),
+        status = done.agg(F.count_if(F.col("error").isNull()).alias("processed"), F.count_if(F.col("error").isNotNull()).alias("failed"),
                           F.count(F.lit(1)).alias("new_observations"))
         status.select(F.lit(batch_id).alias("batch_id"), F.current_timestamp().alias("last_check_at"),
                       F.when(F.col("new_observations") > 0, F.current_timestamp()).alias("last_new_data_at"), "*",
-                      _result().alias("last_result")).write.mode("append").parquet(f"{store}/status")
-        done.unpersist()
+                      monitor_result(F.col("processed"), F.col("new_observations")).alias("last_result")).write.mode("append").parquet(f"{store}/status")
 
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _result():
-    from driftwake.functions.vessel import monitor_result
-
-    return monitor_result(F.col("processed"), F.col("new_observations"))
-
-
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table that may not have been written yet."""
     jvm = spark.sparkContext._jvm
