@@ -152,6 +152,18 @@ def point_in_ring(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), crosses) % 2 == 1
 
 
+def ring_edges(ring: Column) -> Column:
+    """Edges of a ring as structs, built once per polygon so that repeated tests read plain fields."""
+    return F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, 1, 1)), lambda p, q: F.struct(
+        p.x.alias("x1"), p.y.alias("y1"), q.y.alias("y2"), ((q.x - p.x) / F.nullif(q.y - p.y, F.lit(0.0))).alias("g")))
+
+
+def point_in_edges(edges: Column, x: Column, y: Column) -> Column:
+    """Crossing parity over edges from ``ring_edges``; level edges never cross."""
+    hits = F.filter(edges, lambda e: ((e.y1 > y) != (e.y2 > y)) & (x < e.g * (y - e.y1) + e.x1))
+    return F.size(hits) % 2 == 1
+
+
 def utm_to_wgs84(easting: Column, northing: Column, zone: Column) -> Column:
     """Inverse UTM (northern hemisphere) by the usual series expansion; struct<lat,lon>."""
     e2, a, k0 = WGS84_E2, WGS84_A, 0.9996

@@ -69,12 +69,12 @@ def polygon_metrics(rings: DataFrame, ring: str = "ring") -> DataFrame:
 def cell_cover(rings: DataFrame, res: float, ring: str = "ring") -> DataFrame:
     """Grid cells whose centre lies inside each ring, as rows (cx, cy). One polygon's list is bounded by its box."""
     keep = [c for c in rings.columns if c != ring]
-    b = rings.withColumn("_b", geo.ring_bounds(F.col(ring)))
+    b = rings.select(*keep, geo.ring_bounds(F.col(ring)).alias("_b"), geo.ring_edges(F.col(ring)).alias("_e"))
     b = b.withColumn("cx", F.explode(F.sequence(F.floor(F.col("_b.x0") / res), F.floor(F.col("_b.x1") / res))))
     b = b.withColumn("cy", F.explode(F.sequence(F.floor(F.col("_b.y0") / res), F.floor(F.col("_b.y1") / res))))
     x, y = (F.col("cx") + 0.5) * res, (F.col("cy") + 0.5) * res
     inside = (x.between(F.col("_b.x0"), F.col("_b.x1")) & y.between(F.col("_b.y0"), F.col("_b.y1"))
-              & geo.point_in_ring(F.col(ring), x, y))
+              & geo.point_in_edges(F.col("_e"), x, y))
     return b.filter(inside).select(*keep, "cx", "cy")
 
 
