@@ -10,6 +10,7 @@ from driftwake.operators import attribution as at
 from driftwake.operators import behaviour, environment, tracks, trust
 from driftwake.plans.fixtures import table
 from driftwake.plans.queries_vessel import rounded
+from driftwake.session import checkpoint
 
 
 def step_rings(s: SparkSession, d: str) -> DataFrame:
@@ -34,14 +35,14 @@ def best(s: SparkSession, d: str) -> DataFrame:
 def priors(s: SparkSession, d: str) -> DataFrame:
     """Trust, behaviour and declared type per vessel. The gap vessels come from the same trust table."""
     ais = table(s, d, "ais")
-    scores = trust.trust_scores(ais).select("mmsi", "trust_prior", F.array_contains("codes", "AIS_GAP").alias("has_gap"))
+    scores = checkpoint(trust.trust_scores(ais).select("mmsi", "trust_prior", F.array_contains("codes", "AIS_GAP").alias("has_gap")))
     moves = behaviour.behaviour_priors(ais, scores.filter("has_gap").select("mmsi")).select("mmsi", "behaviour_prior")
     types = tracks.static_by_vessel(ais.withColumn("vessel_type", vessel.vessel_type_label(F.col("type_code"))), "vessel_type")
     return scores.drop("has_gap").join(moves, "mmsi").join(types, "mmsi")
 
 
 def ranked(s: SparkSession, d: str) -> DataFrame:
-    b = best(s, d)
+    b = checkpoint(best(s, d))  # read twice below, and at most twelve rows per incident
     gaps = at.gap_coincidence(table(s, d, "ais"), b)
     return at.rank_posteriors(b, priors(s, d), gaps, table(s, d, "offences"))
 
@@ -58,8 +59,10 @@ def _hourly(s: SparkSession, d: str) -> DataFrame:
 
 
 def _funnel(s: SparkSession, d: str) -> DataFrame:
-    c = candidates(s, d)
-    return at.funnel(at.in_scene(table(s, d, "ais"), table(s, d, "incidents")), c, at.top_candidates(c), best(s, d))
+    c = checkpoint(candidates(s, d))
+    top = at.top_candidates(c)
+    ranked_rows = at.best_hypotheses(at.score(table(s, d, "hyps"))).join(top.select("incident_id", "mmsi"), ["incident_id", "mmsi"], "left_semi")
+    return at.funnel(at.in_scene(table(s, d, "ais"), table(s, d, "incidents")), c, top, ranked_rows)
 
 
 def _probes(s: SparkSession, d: str) -> DataFrame:
