@@ -47,10 +47,10 @@ from p""",
 select * from {ais} union all
 select event_id+100000000, mmsi, t_us, lat+case when event_id%100=0 then 0.05e0 else 0.0e0 end, lon, sog, cog, heading,
   type_code, imo_text, flag, length_m from {ais} where event_id%50=0""",
-    # one incident per supplier: acquisition instant, slick centre, area of interest
+    # one incident per supplier, downdrift of where one vessel starts: acquisition instant, slick centre, area
     "incidents": """
 select s_suppkey incident_id, (select min(<us>) from {events})+43200000000-(s_suppkey%5)*420000000 acq_us,
-  round(69.2e0+(s_suppkey*37%320)/100.0e0,4) cx, round(16.2e0+(s_suppkey*53%320)/100.0e0,4) cy,
+  round(68.83e0+(s_suppkey*104729%4000)/1000.0e0,4) cx, round(15.72e0+(s_suppkey*7919%4000)/1000.0e0,4) cy,
   round(5.0e0+s_acctbal/60.0e0,3) area_km2, cast(s_nationkey as bigint) nation_key from {supplier}""",
     # hour-by-hour origin polygon behind each incident, drifting and widening with time
     "steps": """

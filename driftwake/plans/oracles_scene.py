@@ -72,7 +72,7 @@ ORACLES: dict[str, str] = {
     "on_land": "with " + _LAND + " select event_id, mmsi, l.cx is not null on_land from {ais} a left join land l on l.cx=cast(floor(lon/0.02e0) as bigint) and l.cy=cast(floor(lat/0.02e0) as bigint)",
     "land_share": "with " + _LAND + ", g as (select incident_id, unnest(range(cast(floor((cx-0.5e0)/0.02e0) as bigint), cast(floor((cx+0.5e0)/0.02e0) as bigint)+1)) gx, cy from {incidents}), h as (select incident_id, gx, unnest(range(cast(floor((cy-0.5e0)/0.02e0) as bigint), cast(floor((cy+0.5e0)/0.02e0) as bigint)+1)) gy from g) select incident_id, round(avg(case when l.cx is not null then 1.0e0 else 0.0e0 end),6) land_fraction from h left join land l on l.cx=gx and l.cy=gy group by incident_id",
     "coast_distance": "with " + _COAST + " select incident_id, hours_back, round(case when km<=800 then km end,5) distance_km, km<=800 and hit as intersects, km<=800 covered from dd",
-    "shore_eta": "with " + _ETA + " select incident_id, area_km2, closest_km, shore_contact, round(eta_hours,6) eta_hours from im",
+    "shore_eta": "with " + _ETA + " select incident_id, round(area_km2,6) area_km2, closest_km, shore_contact, round(eta_hours,6) eta_hours from im",
     "tier": "with " + _ETA + f" select incident_id, cast(tier as bigint) tier, {_SEV} severity, {_REASONS} reasons from tr",
     "recipients": "with " + _RECIP + " select incident_id, cast(tier as bigint) tier, slot, station_id, role, distance_km, bearing_deg, action from rcp",
     "stations_marked": "with " + _RECIP + ", a as (select station_id, count(*) alerts, min(distance_km) nearest_km from rcp group by station_id) select s.station_id, s.role, s.region, alerts, nearest_km, alerts is not null addressed from {stations} s left join a on a.station_id=s.station_id",
