@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +26,8 @@ def local_session(cpus: int | str = "*", app: str = "driftwake", partitions: int
     return spark
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage in reliable shared storage, so a lost executor costs no recompute from the start.
-
-    The cluster names the shared folder in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a scratch folder of its own; elsewhere the missing setting is an error.
-    """
-    spark = df.sparkSession
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """Folder that the session names in ``spark.checkpoint.dir``; a local session without it gets a scratch folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -40,6 +36,17 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
             shared = tempfile.mkdtemp(prefix="driftwake-ckpt-")
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder, for tables written and read again."""
+    return f"{_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+
+def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut lineage in reliable shared storage, so a lost executor costs no recompute from the start."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
 
 
