@@ -13,6 +13,8 @@ from driftwake.session import checkpoint
 
 SHINGLE = 5
 GROUP = 32
+#: From how many bulletins on a token counts as frequent; a larger number is taken where the list would be too large to broadcast.
+FREQUENT = (24, 96, 384, 1536, 6144, 24576)
 U = np.uint64
 
 
@@ -112,13 +114,47 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
     grouped = first.join(sized, "root").select("node", F.col("root").alias("comp"), F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("c") / GROUP)).cast("int").alias("part"))
     member = checkpoint(nodes.select("node", "id").join(grouped, "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"), F.coalesce("part", F.lit(0)).alias("part")))
 
+    # Frequent tokens go last in the order of tokens, so that few groups meet over them. Any order gives the same links;
+    # tokens of the upper half of the hashes hardly ever are among the least and are not counted.
+    tallies = tables.buckets_for(tables.text_volume(bulletins, text), 16 << 20)
+
+    def tally(batches):
+        for b in batches:
+            found, seen = [np.zeros(0, U)], set()
+            for w in batches_of_words(b.column(1), FOLDED):
+                for i in range(w.lo, w.hi):
+                    m = mix(shingles(w.hashes[w.of(i)]))
+                    name = (len(m), int(m[0]) if len(m) else 0, int(m[-1]) if len(m) else 0)
+                    if name not in seen:
+                        seen.add(name)
+                        found.append(m[m < U(1 << 63)])
+            u, c = np.unique(np.concatenate(found), return_counts=True)
+            for k, at in tables.in_buckets(u, tallies):
+                yield (k, tables.raw(u[at]), tables.raw(c[at].astype(np.uint32))), 12 * len(at)
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, inv = np.unique(np.concatenate([tables.array(x, U) for x in pdf["t"]]), return_inverse=True)
+        c = np.bincount(inv, np.concatenate([tables.array(x, np.uint32) for x in pdf["c"]]))
+        return pd.DataFrame({"least": list(FREQUENT), "t": [tables.raw(u[c >= f]) for f in FREQUENT]})
+
+    often = checkpoint(tables.by_arrow(d, tally, "bucket int, t binary, c binary").groupBy("bucket").applyInPandas(total, "least int, t binary"))
+    sizes = {r.least: r.n for r in often.groupBy("least").agg(F.sum(F.octet_length("t")).alias("n")).collect()}
+    fit = next((f for f in FREQUENT if sizes.get(f, 0) <= tables.BROADCAST_LIMIT // 4), None)
+    parts = [tables.array(r.t, U) for r in often.filter(F.col("least") == fit).select("t").toLocalIterator()] if fit and sizes else []
+    frequent = bulletins.sparkSession.sparkContext.broadcast(np.sort(np.concatenate(parts)) if parts else np.zeros(0, U))
+
+    def ordered(s: np.ndarray) -> np.ndarray:
+        m, f = mix(s), frequent.value
+        late = f[np.minimum(np.searchsorted(f, m), len(f) - 1)] == m if len(f) else np.zeros(len(m), bool)
+        return np.sort((m >> U(1)) | (late.astype(U) << U(63)))
+
     # Token-group matrix over the tokens a link needs.
     def prefix(k, s, seen):
         n = fingerprint(s)
         if len(s) and n not in seen:
             seen.add(n)
             p = len(s) - -(-percent * len(s) // 100) + 1
-            yield (n, len(s), tables.raw(np.sort(mix(s))[:p])), 8 * p + 16
+            yield (n, len(s), tables.raw(ordered(s)[:p])), 8 * p + 16
 
     heads = _sets(d, prefix, "node long, n int, p binary").groupBy("node").agg(F.first("n").alias("n"), F.first("p").alias("p"))
     matrix_rows = checkpoint(heads.join(member, "node").select("comp", "part", "n", "p"))
@@ -149,10 +185,10 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
         for x, y in zip(lo[hi - lo > 1].tolist(), hi[hi - lo > 1].tolist(), strict=True):
             if c[x] == c[y - 1]:
                 continue
-            i, j = np.triu_indices(y - x, 1)
-            ok = c[x + i] != c[x + j]
-            a.append(x + i[ok])
-            b.append(x + j[ok])
+            for i in range(x, y - 1):
+                j = np.flatnonzero(c[i + 1:y] != c[i]) + i + 1
+                a.append(np.full(len(j), i))
+                b.append(j)
         if not a:
             return pd.DataFrame({"ca": [], "pa": [], "cb": [], "pb": [], "c": []}).astype("int64")
         a, b = np.concatenate(a), np.concatenate(b)
@@ -170,27 +206,34 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
     m2 = member.withColumn("part", F.col("part").cast("long"))
     both = open_pairs.select(F.col("ca").alias("comp"), F.col("pa").alias("part")).union(open_pairs.select(F.col("cb").alias("comp"), F.col("pb").alias("part"))).distinct()
     chosen = checkpoint(m2.join(both, ["comp", "part"]))
-    blocks = checkpoint(chosen.join(with_sets(chosen), "node").groupBy("comp", "part").agg(F.collect_list(F.struct("node", "s")).alias("m")))
-    ba, bb = (blocks.select(F.col("comp").alias(f"c{x}"), F.col("part").alias(f"p{x}"), F.col("m").alias(f"m{x}")) for x in "ab")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"comp": [pdf["comp"].iloc[0]], "part": [pdf["part"].iloc[0]], "nodes": [tables.raw(pdf["node"].to_numpy())],
+                             "sizes": [tables.raw(np.array([len(x) // 8 for x in pdf["s"]]))], "s": [b"".join(pdf["s"])]})
+
+    blocks = checkpoint(chosen.join(with_sets(chosen), "node").groupBy("comp", "part").applyInPandas(pack, "comp long, part long, nodes binary, sizes binary, s binary"))
+    ba, bb = (blocks.select(F.col("comp").alias(f"c{x}"), F.col("part").alias(f"p{x}"), F.struct("nodes", "sizes", "s").alias(f"m{x}")) for x in "ab")
+
+    def members(b) -> list[tuple[int, np.ndarray]]:
+        cuts = np.cumsum(tables.array(b["sizes"].as_py(), np.int64))[:-1]
+        return list(zip(tables.array(b["nodes"].as_py(), np.int64).tolist(), np.split(tables.array(b["s"].as_py(), U), cuts), strict=True))
 
     def opened(batches):
-        for pdf in batches:
-            out = []
-            for x, y in zip(pdf["ma"], pdf["mb"], strict=True):
-                union = np.unique(np.concatenate([tables.array(r["s"], U) for r in y]))
-                for q in x:
-                    s = tables.array(q["s"], U)
+        for batch in batches:
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                y = members(y)
+                union = np.unique(np.concatenate([o for _, o in y]))
+                for q, s in members(x):
                     if 100 * np.isin(s, union, assume_unique=True).sum() < percent * len(s):
                         continue
-                    for r in y:
-                        o = tables.array(r["s"], U)
+                    for r, o in y:
                         common = len(np.intersect1d(s, o, assume_unique=True))
                         if 100 * common >= percent * (len(s) + len(o) - common):
-                            out.append((q["node"], r["node"]))
+                            yield (q, r), 16
                             break
-            yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    more = open_pairs.join(ba, ["ca", "pa"]).join(bb, ["cb", "pb"]).select("ma", "mb").mapInPandas(opened, "a long, b long")
+    more = open_pairs.join(ba, ["ca", "pa"]).join(bb, ["cb", "pb"]).select("ma", "mb")
+    more = tables.by_arrow(more, opened, "a long, b long")
     final = tables.components(checkpoint(edges.union(more)))
     rooted = nodes.select("node", "id").join(final, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
