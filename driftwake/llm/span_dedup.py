@@ -194,12 +194,8 @@ def repeated_spans(bulletins: DataFrame, text: str = "message", window: int = WI
             group.setdefault((g, words), []).extend(zip(ks, starts, strict=True))
         names = sorted(group)
         out = defaultdict(list)
-        for lo in range(0, len(names), 4000):
-            # whole anchors only: windows of one anchor meet in one call
-            if lo and names[lo][0] == names[lo - 1][0]:
-                pass
         chunks, at = [], 0
-        while at < len(names):
+        while at < len(names):  # whole anchors only: windows of one anchor meet in one call
             end = min(at + 800, len(names))
             while end < len(names) and names[end][0] == names[end - 1][0]:
                 end += 1
@@ -210,7 +206,7 @@ def repeated_spans(bulletins: DataFrame, text: str = "message", window: int = WI
             for name, starts in zip(chunk, hits, strict=True):
                 for k, a in group[name] if starts else ():
                     out[k] += [a + s for s in starts]
-        return pd.DataFrame({"text_key": list(out), "starts": [sorted(set(v)) for v in out.values()]})
+        return pd.DataFrame({"text_key": pd.Series(list(out), dtype="int64"), "starts": pd.Series([sorted(set(v)) for v in out.values()], dtype=object)})
 
     return sent.groupBy("bucket").applyInPandas(decide, "text_key long, starts array<int>")
 
