@@ -13,7 +13,8 @@ from driftwake.session import local_session
 HEADLINE = ("ais_gaps", "feed_summary", "segment_kinematics", "trust_scores", "speed_reduction_runs", "position_at", "score_terms",
             "best_hypothesis", "wind_fill", "env_sample", "baseline_stats", "baseline_z", "robust_background", "metrics_by_sensor",
             "threshold_sweep", "band_weights", "shore_eta", "tier", "recipients", "detectability", "audit_links", "digest_verify",
-            "zonal_stats", "cfar_windows", "sar_ais_match", "envelope_hits")
+            "zonal_stats", "cfar_windows", "sar_ais_match", "envelope_hits", "candidate_rollup", "release_hypotheses", "gap_coincidence",
+            "nearest_vessel", "morphology", "polygon_metrics", "polygon_iou", "coast_distance", "posterior_rank")
 
 
 def main() -> None:

@@ -88,14 +88,14 @@ a as (select incident_id, max(mmsi) mmsi, arg_min(age,hyp_rank) best_hours, min(
 f as (select *, case when area_km2>0 then pow(area_km2/18.0e0,1.0e0/0.75e0) end fay_hours from a)
 select incident_id, mmsi, round(best_hours,10) best_hours, round(low_hours,10) low_hours, round(high_hours,10) high_hours, area_km2, round(fay_hours,6) fay_hours, round(case when best_hours>0 then fay_hours/best_hours end,6) fay_ratio, coalesce(case when best_hours>0 then fay_hours/best_hours end between 0.5e0 and 2.0e0,false) agrees from f""",
     "rationale": FULL + """
-select r.incident_id, r.mmsi, concat_ws(' | ', printf('Inside the reverse-drift origin envelope at %d of the reconstructed time steps, from %d to %d hours before acquisition.', n_hits, min_hours_back, max_hours_back),
- concat('Simulating a discharge at ', strftime(make_timestamp(release_us),'%Y-%m-%d %H:%M UTC'), printf(' reproduces %.0f%% overlap with the observed slick.', iou*100)),
- printf('Simulated slick centre lands %.1f km from the observed centre.', offset_km), printf('Slick long axis differs from this vessel''s course by %.0f degrees.', delta_deg),
- printf('Simulated area is within a factor of %.2f of the observed area.', 1/greatest(area_ratio,1e-6)), case when vt is not null then printf('Vessel type on AIS: %s.', vt) end,
- case when gap_coincidence then 'This vessel stopped reporting AIS around the estimated release time.' end, case when prior_offences>0 then printf('%d previously confirmed discharge(s) on record for this MMSI.', prior_offences) end,
- case when abs(trust_prior-1)>1e-9 then printf('Posterior %s by the trust prior (%.2fx).', case when trust_prior>1 then 'raised' else 'lowered' end, trust_prior) end,
- case when abs(behaviour_prior-1)>1e-9 then printf('Posterior %s by the behaviour prior (%.2fx).', case when behaviour_prior>1 then 'raised' else 'lowered' end, behaviour_prior) end,
- case when abs(type_risk_prior-1)>1e-9 then printf('Posterior %s by the vessel-type risk prior (%.2fx).', case when type_risk_prior>1 then 'raised' else 'lowered' end, type_risk_prior) end) rationale
+select r.incident_id, r.mmsi, concat_ws(' | ', printf('Track met the origin area in %d hourly steps (%d to %d h before the image).', n_hits, min_hours_back, max_hours_back),
+ concat('Best release time ', strftime(make_timestamp(release_us),'%Y-%m-%d %H:%M UTC'), printf(' covers %.0f%% of slick and model together.', iou*100)),
+ printf('Centres differ by %.1f km.', offset_km), printf('Course and slick axis: %.0f degrees apart.', delta_deg),
+ printf('Areas differ by a factor of %.2f.', 1/greatest(area_ratio,1e-6)), case when vt is not null then printf('Reported type: %s.', vt) end,
+ case when gap_coincidence then 'No reports near the release time.' end, case when prior_offences>0 then printf('Earlier offences on file: %d.', prior_offences) end,
+ case when abs(trust_prior-1)>1e-9 then printf('Weight %s for trust (%.2fx).', case when trust_prior>1 then 'raised' else 'lowered' end, trust_prior) end,
+ case when abs(behaviour_prior-1)>1e-9 then printf('Weight %s for behaviour (%.2fx).', case when behaviour_prior>1 then 'raised' else 'lowered' end, behaviour_prior) end,
+ case when abs(type_risk_prior-1)>1e-9 then printf('Weight %s for vessel-type risk (%.2fx).', case when type_risk_prior>1 then 'raised' else 'lowered' end, type_risk_prior) end) rationale
 from ranked r join cands c on c.incident_id=r.incident_id and c.mmsi=r.mmsi""",
     "wind_statistics": "select field_id, round(avg(s),6) mean_speed_ms, round(min(s),6) min_speed_ms, round(max(s),6) max_speed_ms, round(avg(case when wind_u is null then 1.0e0 else 0.0e0 end),6) missing_fraction, round(avg(case when s between 3 and 10 then 1.0e0 when s is not null then 0.0e0 end),6) fraction_in_band from (select *, sqrt(wind_u*wind_u+wind_v*wind_v) s from {env}) q group by field_id",
     "wind_fill": "with " + _ENVF + " select field_id, ti, yi, xi, round(wind_u,6) wind_u, round(wind_v,6) wind_v from ef",

@@ -27,8 +27,8 @@ im as (select h.incident_id, max(h.area_km2) area_km2, min(h.distance_km) closes
   any_value(case when f.incident_id is null then null when f.rn=1 then 0.0e0 when f.rn>=3 and d2-d1>0 then least(h1+d1/((d2-d1)/(h1-h2)),f.horizon_hours) else (h1+f.horizon_hours)/2.0e0 end) eta_hours from {horizons} h left join ft f on f.incident_id=h.incident_id group by h.incident_id),
 tr as (select *, greatest(case when area_km2>=150 then 3 when area_km2>=25 then 2 else 1 end, case when eta_hours<=24 then 3 when eta_hours<=72 then 2 else 1 end) tier from im)"""
 _KM2 = "printf('%.1f', area_km2)"
-_REASONS = f"""case when area_km2<25 and not coalesce(eta_hours<=72,false) then concat('slick area ',{_KM2},' km², no shoreline contact within 72 h', case when closest_km>0 then printf(' (closest approach %.0f km)',closest_km) else '' end)
- else concat_ws('; ', case when area_km2>=25 then concat('slick area ',{_KM2},' km² ≥ 25 km²') end, case when area_km2>=150 then concat('slick area ',{_KM2},' km² ≥ 150 km²') end, case when eta_hours<=72 then printf('shoreline contact forecast in %.0f h',eta_hours) end) end"""
+_REASONS = f"""case when area_km2<25 and not coalesce(eta_hours<=72,false) then concat('oil over ',{_KM2},' km², stays offshore for 72 h', case when closest_km>0 then printf(' (nearest %.0f km)',closest_km) else '' end)
+ else concat_ws('; ', case when area_km2>=25 then concat('oil over ',{_KM2},' km² ≥ 25 km²') end, case when area_km2>=150 then concat('oil over ',{_KM2},' km² ≥ 150 km²') end, case when eta_hours<=72 then printf('ashore in about %.0f h',eta_hours) end) end"""
 _SEV = "case tier when 3 then 'EMERGENCY' when 2 then 'ALERT' else 'ADVISORY' end"
 _RECIP = _ETA + """,
 al as (select incident_id, tier, 8.0e0+(incident_id%130)/10.0e0 lat, 66.0e0+(incident_id%97)/8.0e0 lon from tr),

@@ -40,7 +40,9 @@ def normalise_reports(raw: DataFrame, bbox: tuple[float, float, float, float] |
 
 def read_report_csv(spark: SparkSession, path: str, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
     """Vessel reports from CSV. A .zst file reads too but does not split: convert it to parquet once."""
-    return normalise_reports(spark.read.csv(path, schema=schemas.AIS_CSV, header=True, enforceSchema=False), bbox)
+    raw = require_columns(spark.read.csv(path, header=True), schemas.AIS_REQUIRED, path)
+    typed = [F.expr(f"try_cast(`{f.name}` as {f.dataType.simpleString()})").alias(f.name) for f in schemas.AIS_CSV.fields if f.name in raw.columns]
+    return normalise_reports(raw.select(*typed), bbox)
 
 
 def read_report_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -87,10 +89,11 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
 
 
 def line_segments(documents: DataFrame) -> DataFrame:
-    """Coastline GeoJSON text (value) to segment rows: every LineString or MultiLineString feature, pair by pair."""
+    """Coastline GeoJSON text (value) to segment rows: every line and polygon border, pair by pair."""
     feature = F.explode(F.from_json(F.get_json_object("value", "$.features"), "array<string>"))
     f = documents.select(feature.alias("f")).select(F.get_json_object("f", "$.geometry.type").alias("kind"), F.get_json_object("f", "$.geometry.coordinates").alias("c"))
-    lines = F.when(F.col("kind") == "LineString", F.array(F.from_json("c", "array<array<double>>"))).otherwise(F.from_json("c", "array<array<array<double>>>"))
+    lines = F.when(F.col("kind") == "LineString", F.array(F.from_json("c", "array<array<double>>"))).when(
+        F.col("kind") == "MultiPolygon", F.flatten(F.from_json("c", "array<array<array<array<double>>>>"))).otherwise(F.from_json("c", "array<array<array<double>>>"))
     line = f.select(F.explode(lines).alias("l")).filter("size(l) > 1")
     i = F.explode(F.sequence(F.lit(0), F.size("l") - 2))
     p = line.select("l", i.alias("i")).select(F.get("l", F.col("i")).alias("a"), F.get("l", F.col("i") + 1).alias("b"))
@@ -120,8 +123,13 @@ def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     named = auditable(f.withColumn("name", F.element_at(F.split("path", "/"), -1)))
     as_json = F.col("name").rlike(r"\.(geo)?json$")
-    digest = F.when(as_json, canonical_json_sha256(F.col("content").cast("string"))).otherwise(F.sha2("content", 256))
-    return named.select("path", "name", F.col("length").alias("bytes"), digest.alias("sha256"))
+
+    def hashed(files: DataFrame, digest: Column) -> DataFrame:
+        return files.select("path", "name", F.col("length").alias("bytes"), digest.alias("sha256"))
+
+    # Two branches, so that only JSON files reach Python.
+    return hashed(named.filter(as_json), canonical_json_sha256(F.col("content").cast("string"))).union(
+        hashed(named.filter(~as_json), F.sha2("content", 256)))
 
 
 def drop_in_catalogue(spark: SparkSession, rasters: str, sidecars: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftwake.config import Config, PriorConfig
 from driftwake.functions import geo
-from driftwake.operators import attribution, baseline, components, custody, drift, evaluation, polygons, raster, shore
+from driftwake.operators import attribution, baseline, components, custody, evaluation, polygons, raster, shore
 from driftwake.sources import contracts, readers, writers
 
 XY = "array<struct<x:double,y:double>>"
@@ -128,52 +128,6 @@ def test_land_clip_keeps_a_cover_that_would_vanish(spark):
     assert sorted((r.i, r.cx, r.cy) for r in polygons.off_land(c, land, ["i"]).collect()) == [(1, 0, 0), (2, 5, 5)]
 
 
-def _world(spark, wind=(6.0, 2.0), curr=(0.2, 0.1)):
-    env = [(1, t, y, x, t * 3_600_000_000, 15.0 + y, 68.0 + x, *wind, *curr) for t in range(30) for y in range(5) for x in range(5)]
-    field = spark.createDataFrame(env, "field_id long, ti long, yi long, xi long, t_us long, lat double, lon double, wind_u double, wind_v double, curr_u double, curr_v double")
-    ell = ring(*[(70 + 0.08 * math.cos(a), 17 + 0.02 * math.sin(a)) for a in np.linspace(0, 2 * np.pi, 24, endpoint=False)])
-    slick = spark.createDataFrame([(1, 20 * 3_600_000_000, 4.0, ell)], f"incident_id long, acq_us long, age_h double, ring {XY}")
-    return field, slick
-
-
-def test_reverse_drift_goes_upwind_and_widens(spark):
-    field, slick = _world(spark)
-    steps = drift.reverse_drift(slick, field, 12, 200)
-    r = steps.select("hours_back", geo.ring_area(F.col("ring")).alias("a"), geo.ring_centroid(F.col("ring")).x.alias("x")).orderBy("hours_back").collect()
-    assert r[-1].a > r[0].a and r[-1].x < r[0].x < 70.0
-    again = drift.reverse_drift(slick.repartition(3), field.repartition(5), 12, 200)
-    assert sorted(map(str, again.collect())) == sorted(map(str, steps.collect()))
-
-
-def test_forecast_moves_and_cone_contains_more(spark):
-    field, slick = _world(spark)
-    f = drift.forecast(slick, field, (6, 12, 24), 200).select("horizon_hours", geo.ring_area(F.col("ring")).alias("a"), geo.ring_area(F.col("cone")).alias("c"), "lon").orderBy("horizon_hours").collect()
-    assert all(x.c > x.a for x in f) and f[0].a < f[1].a < f[2].a and f[2].lon > f[0].lon > 70.0
-
-
-def test_simulated_release_scores_its_own_place_best(spark):
-    field, slick = _world(spark)
-    acq, rel = 20 * 3_600_000_000, 14 * 3_600_000_000
-    u, v = 0.2 + 0.03 * (6 * math.cos(math.radians(15)) + 2 * math.sin(math.radians(15))), 0.1 + 0.03 * (2 * math.cos(math.radians(15)) - 6 * math.sin(math.radians(15)))
-    kx, ky = drift.metre_scale(17.0)
-    lat, lon = float(17 - v * 21600 / ky), float(70 - u * 21600 / kx)
-    r = spark.createDataFrame([(1, 7, 0, acq, rel, lat, lon), (1, 8, 0, acq, rel, lat + 0.4, lon)],
-                              "incident_id long, mmsi long, k long, acq_us long, release_us long, release_lat double, release_lon double")
-    track = spark.createDataFrame([(1, 7, 0, rel + i * 60_000_000, lat, lon - 0.08 + 0.16 * i / 10) for i in range(11)],
-                                  "incident_id long, mmsi long, k long, t_us long, lat double, lon double")
-    got = {x.mmsi: x for x in attribution.score(drift.simulate_releases(r, track, slick, field)).collect()}
-    assert got[7].iou > 0.5 and got[7].delta_deg < 15 and got[7].offset_km < 1.5 and got[7].score > got[8].score + 0.05
-
-
-def test_replay_beaches_at_land(spark):
-    field, slick = _world(spark)
-    best = spark.createDataFrame([(1, 7, 0, 20 * 3_600_000_000, 10 * 3_600_000_000, 17.0, 70.0)], "incident_id long, mmsi long, k long, acq_us long, release_us long, release_lat double, release_lon double")
-    land = spark.createDataFrame([(1, cx, cy) for cx in range(3505, 3600) for cy in range(800, 900)], "incident_id long, cx long, cy long")
-    free = drift.replay_frames(best, field, 30).agg(F.max("lon")).first()[0]
-    held = drift.replay_frames(best, field, 30, land_cells=land).agg(F.max("lon")).first()[0]
-    assert held <= 70.1 < free
-
-
 def test_audit_chain_append_and_tamper(spark):
     new = spark.createDataFrame([(1, s, f"b{s}") for s in range(5)], "log_id long, seq long, body string")
     log = custody.append_entries(new, spark.createDataFrame([], "log_id long, chain_hash string")).withColumn("incident_id", F.lit(1)).cache()
