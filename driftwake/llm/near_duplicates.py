@@ -54,6 +54,22 @@ def links_within(sets: list[np.ndarray], names: list[int], percent: int) -> list
     return out
 
 
+def links_between(xs: list[tuple[int, np.ndarray]], ys: list[tuple[int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Links from the sets of a query group to those of a data group; a query too far from the group's union is not opened."""
+    union, token, which = overlaps([o for _, o in ys])
+    size, out = np.array([len(o) for _, o in ys]), []
+    for q, s in xs:
+        at = np.minimum(np.searchsorted(union, s), len(union) - 1)
+        at = at[union[at] == s]
+        if 100 * len(at) < percent * len(s):
+            continue
+        flag = np.zeros(len(union), bool)
+        flag[at] = True
+        common = np.bincount(which, flag[token], minlength=len(ys)).astype(np.int64)
+        out += [(q, ys[j][0]) for j in np.flatnonzero(100 * common >= percent * (len(s) + size - common)) if ys[j][0] != q]
+    return out
+
+
 def _sets(d: DataFrame, f, schema: str) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -69,10 +85,11 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
     """Every bulletin with n_shingles and component_id, the least key reachable by links: key, n_shingles, component_id.
 
     Two bulletins link when 100 * intersection >= percent * union. Equal sets are one node. Similar nodes (a common
-    least hash) are linked first in bounded chunks, which gives the groups: parts of a component of at most ``GROUP``
-    nodes. The token-group matrix then holds, by token, the groups whose union has it among the tokens that a link
-    needs (the least |s| - ceil(percent |s|) + 1 hashes of a set); a query group's overlap with each group is counted,
-    groups below the bound are not opened, and groups of one component are never compared. Null and blank texts have
+    least hash) are linked first in bounded chunks. Groups are parts of about ``GROUP`` nodes of a component; nodes that
+    are not linked yet are grouped by a common least hash and a like size. The token-group matrix then holds, by token,
+    the groups whose union has it among the tokens that a link needs (the least |s| - ceil(percent |s|) + 1 hashes of a
+    set); a query group's overlap with each group is counted, groups below the bound are not opened, groups of one
+    component are never compared, and groups of unlinked nodes are opened against themselves. Null and blank texts have
     no shingles and stand alone; rows with equal keys share a component; null keys link, but never name a component.
     """
     d = bulletins.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -82,7 +99,7 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
         yield (k, len(s), fingerprint(s), *h), 48
 
     rows = checkpoint(_sets(d, describe, "id long, n_shingles long, node long, m1 long, m2 long"))
-    nodes = checkpoint(rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("m1").alias("m1"), F.first("m2").alias("m2")))
+    nodes = checkpoint(rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("m1").alias("m1"), F.first("m2").alias("m2")))
 
     def with_sets(wanted: DataFrame) -> DataFrame:
         """node and set of the wanted nodes, each once; texts are fetched by the key of one bulletin."""
@@ -111,8 +128,15 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
     edges = checkpoint(chunked.join(sets, "node").groupBy("f", "m", "chunk").applyInPandas(link, "a long, b long"))
     first = tables.components(edges)
     sized = first.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
-    grouped = first.join(sized, "root").select("node", F.col("root").alias("comp"), F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(F.col("c") / GROUP)).cast("int").alias("part"))
-    member = checkpoint(nodes.select("node", "id").join(grouped, "node", "left").select("node", "id", F.coalesce("comp", "node").alias("comp"), F.coalesce("part", F.lit(0)).alias("part")))
+    parts = lambda c: F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(c / GROUP)).cast("int")
+    linked = first.join(sized, "root").select("node", F.col("root").bitwiseOR(F.lit(1)).alias("comp"), parts(F.col("c")).alias("part"))
+    # Unlinked nodes: the first least hash that another one of like size shares. Names of components are odd, of classes even.
+    single = checkpoint(nodes.join(linked, "node", "left_anti").select("node", "id", F.floor(F.log("n") / np.log(1.15)).alias("band"), "m1", "m2"))
+    c1, c2 = (single.groupBy("band", f"m{f}").agg(F.count(F.lit(1)).alias(f"c{f}")).filter(f"c{f} > 1") for f in (1, 2))
+    alike = single.join(c1, ["band", "m1"], "left").join(c2, ["band", "m2"], "left")
+    named = F.when(F.col("c1") > 1, F.xxhash64(F.lit(1), "band", "m1")).when(F.col("c2") > 1, F.xxhash64(F.lit(2), "band", "m2")).otherwise(F.col("node"))
+    loose = alike.select("node", "id", named.bitwiseAND(F.lit(-2)).alias("comp"), parts(F.coalesce("c1", "c2", F.lit(1))).alias("part"))
+    member = checkpoint(nodes.join(linked, "node").select("node", "id", "comp", "part").union(loose))
 
     # Frequent tokens go last in the order of tokens, so that few groups meet over them. Any order gives the same links;
     # tokens of the upper half of the hashes hardly ever are among the least and are not counted.
@@ -183,10 +207,10 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
         lo, hi = cut[:-1], cut[1:]
         a, b = [], []
         for x, y in zip(lo[hi - lo > 1].tolist(), hi[hi - lo > 1].tolist(), strict=True):
-            if c[x] == c[y - 1]:
+            if c[x] == c[y - 1] and c[x] & 1:
                 continue
             for i in range(x, y - 1):
-                j = np.flatnonzero(c[i + 1:y] != c[i]) + i + 1
+                j = np.flatnonzero(c[i + 1:y] != c[i]) + i + 1 if c[i] & 1 else np.arange(i + 1, y)
                 a.append(np.full(len(j), i))
                 b.append(j)
         if not a:
@@ -201,9 +225,11 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
     t = percent / 100.0
     # Least number of common least-hash tokens of a linked pair x, y: overlap needed less what may lie past the prefixes.
     need = F.least(*[t / (1 + t) * (F.col(f"lo{x}") + F.col(f"lo{y}")) - t * F.col(f"hi{x}") for x, y in ("ab", "ba")]) - 1
-    fits = (F.col("hia") >= t * F.col("lob")) & (F.col("hib") >= t * F.col("loa")) & (F.col("c") >= need)
-    open_pairs = checkpoint(counted.join(sa, ["ca", "pa"]).join(sb, ["cb", "pb"]).filter(fits).select("ca", "pa", "cb", "pb"))
+    fits = (100 * F.col("hia") >= percent * F.col("lob")) & (100 * F.col("hib") >= percent * F.col("loa")) & (F.col("c") >= need)
     m2 = member.withColumn("part", F.col("part").cast("long"))
+    own = m2.filter(F.col("comp").bitwiseAND(F.lit(1)) == 0).groupBy("comp", "part").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    own = own.select(F.col("comp").alias("ca"), F.col("part").alias("pa"), F.col("comp").alias("cb"), F.col("part").alias("pb"))
+    open_pairs = checkpoint(counted.join(sa, ["ca", "pa"]).join(sb, ["cb", "pb"]).filter(fits).select("ca", "pa", "cb", "pb").union(own))
     both = open_pairs.select(F.col("ca").alias("comp"), F.col("pa").alias("part")).union(open_pairs.select(F.col("cb").alias("comp"), F.col("pb").alias("part"))).distinct()
     chosen = checkpoint(m2.join(both, ["comp", "part"]))
 
@@ -221,16 +247,8 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
     def opened(batches):
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                y = members(y)
-                union = np.unique(np.concatenate([o for _, o in y]))
-                for q, s in members(x):
-                    if 100 * np.isin(s, union, assume_unique=True).sum() < percent * len(s):
-                        continue
-                    for r, o in y:
-                        common = len(np.intersect1d(s, o, assume_unique=True))
-                        if 100 * common >= percent * (len(s) + len(o) - common):
-                            yield (q, r), 16
-                            break
+                for link in links_between(members(x), members(y), percent):
+                    yield link, 16
 
     more = open_pairs.join(ba, ["ca", "pa"]).join(bb, ["cb", "pb"]).select("ma", "mb")
     more = tables.by_arrow(more, opened, "a long, b long")
