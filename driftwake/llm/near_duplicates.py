@@ -220,16 +220,18 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
         return got.groupby(["ca", "pa", "cb", "pb"]).size().reset_index(name="c")
 
     counted = dealt.groupBy("bucket").applyInPandas(overlap, "ca long, pa long, cb long, pb long, c long").groupBy("ca", "pa", "cb", "pb").agg(F.sum("c").alias("c"))
-    span = matrix_rows.groupBy("comp", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    sa, sb = (span.select(F.col("comp").alias(f"c{x}"), F.col("part").cast("long").alias(f"p{x}"), F.col("lo").alias(f"lo{x}"), F.col("hi").alias(f"hi{x}")) for x in "ab")
+    span = matrix_rows.groupBy("comp", "part").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.sum("n").alias("w"))
+    sa, sb = (span.select(F.col("comp").alias(f"c{x}"), F.col("part").cast("long").alias(f"p{x}"), F.col("lo").alias(f"lo{x}"), F.col("hi").alias(f"hi{x}"), F.col("w").alias(f"w{x}")) for x in "ab")
     t = percent / 100.0
     # Least number of common least-hash tokens of a linked pair x, y: overlap needed less what may lie past the prefixes.
     need = F.least(*[t / (1 + t) * (F.col(f"lo{x}") + F.col(f"lo{y}")) - t * F.col(f"hi{x}") for x, y in ("ab", "ba")]) - 1
     fits = (100 * F.col("hia") >= percent * F.col("lob")) & (100 * F.col("hib") >= percent * F.col("loa")) & (F.col("c") >= need)
+    # The lighter block of a pair travels to the heavier one.
+    lighter = [F.when(F.col("wa") <= F.col("wb"), F.col(f"{k}{x}")).otherwise(F.col(f"{k}{y}")).alias(f"{k}{x}") for x, y in ("ab", "ba") for k in "cp"]
     m2 = member.withColumn("part", F.col("part").cast("long"))
     own = m2.filter(F.col("comp").bitwiseAND(F.lit(1)) == 0).groupBy("comp", "part").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     own = own.select(F.col("comp").alias("ca"), F.col("part").alias("pa"), F.col("comp").alias("cb"), F.col("part").alias("pb"))
-    open_pairs = checkpoint(counted.join(sa, ["ca", "pa"]).join(sb, ["cb", "pb"]).filter(fits).select("ca", "pa", "cb", "pb").union(own))
+    open_pairs = checkpoint(counted.join(sa, ["ca", "pa"]).join(sb, ["cb", "pb"]).filter(fits).select(*lighter).union(own))
     both = open_pairs.select(F.col("ca").alias("comp"), F.col("pa").alias("part")).union(open_pairs.select(F.col("cb").alias("comp"), F.col("pb").alias("part"))).distinct()
     chosen = checkpoint(m2.join(both, ["comp", "part"]))
 
