@@ -27,9 +27,9 @@ def shingles(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return np.unique(grams(h, k))
 
 
-def fingerprint(s: np.ndarray) -> int:
-    """Name of a set: equal sets share it."""
-    return int(mix(np.array([np.bitwise_xor.reduce(mix(s)) + U(len(s))], U)).view(np.int64)[0]) if len(s) else 0
+def fingerprint(m: np.ndarray) -> int:
+    """Name of a set, given its mixed hashes: equal sets share it."""
+    return int(mix(np.array([np.bitwise_xor.reduce(m) + U(len(m))], U)).view(np.int64)[0]) if len(m) else 0
 
 
 def overlaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,8 +95,9 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
     d = bulletins.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def describe(k, s, seen):
-        h = [int(mix(s ^ U(c)).min().view(np.int64)) if len(s) else 0 for c in (0x1234567, 0x89ABCDE)]
-        yield (k, len(s), fingerprint(s), *h), 48
+        m = mix(s)
+        least = [int((m * U(c)).min().view(np.int64)) if len(s) else 0 for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+        yield (k, len(s), fingerprint(m), *least), 48
 
     rows = checkpoint(_sets(d, describe, "id long, n_shingles long, node long, m1 long, m2 long"))
     nodes = checkpoint(rows.filter("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("m1").alias("m1"), F.first("m2").alias("m2")))
@@ -107,7 +108,7 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
         texts = tables.join_small(d.withColumnRenamed("id", "_id"), checkpoint(ids.select("id").distinct()), F.col("_id").eqNullSafe(F.col("id")), "left_semi", 40)
 
         def put(k, s, seen):
-            n = fingerprint(s)
+            n = fingerprint(mix(s))
             if len(s) and n not in seen:
                 seen.add(n)
                 yield (n, tables.raw(s)), 8 * len(s)
@@ -120,12 +121,19 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
     many = keyed.groupBy("f", "m").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     chunked = checkpoint(keyed.join(many, ["f", "m"]).withColumn("chunk", F.pmod(F.xxhash64("node", "f"), F.ceil(F.col("c") / 128))))
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = links_within([tables.array(x, U) for x in pdf["s"]], pdf["node"].tolist(), percent) if len(pdf) > 1 else []
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    def members(b) -> list[tuple[int, np.ndarray]]:
+        return [(x["node"], tables.array(x["s"], U)) for x in b.as_py()]
+
+    def link(batches):
+        for b in batches:
+            for chunk in map(members, b.column(0)):
+                yield from ((x, 16) for x in links_within([s for _, s in chunk], [n for n, _ in chunk], percent))
 
+    # Chunks and groups are bounded by construction, so they are gathered as arrays.
+    gathered = F.collect_list(F.struct("node", "s")).alias("group")
     sets = with_sets(chunked)
-    edges = checkpoint(chunked.join(sets, "node").groupBy("f", "m", "chunk").applyInPandas(link, "a long, b long"))
+    linking = chunked.join(sets, "node").groupBy("f", "m", "chunk").agg(gathered).filter(F.size("group") > 1).select("group")
+    edges = checkpoint(tables.by_arrow(linking, link, "a long, b long"))
     first = tables.components(edges)
     sized = first.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
     parts = lambda c: F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(c / GROUP)).cast("int")
@@ -167,18 +175,19 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
     parts = [tables.array(r.t, U) for r in often.filter(F.col("least") == fit).select("t").toLocalIterator()] if fit and sizes else []
     frequent = bulletins.sparkSession.sparkContext.broadcast(np.sort(np.concatenate(parts)) if parts else np.zeros(0, U))
 
-    def ordered(s: np.ndarray) -> np.ndarray:
-        m, f = mix(s), frequent.value
+    def ordered(m: np.ndarray) -> np.ndarray:
+        f = frequent.value
         late = f[np.minimum(np.searchsorted(f, m), len(f) - 1)] == m if len(f) else np.zeros(len(m), bool)
         return np.sort((m >> U(1)) | (late.astype(U) << U(63)))
 
     # Token-group matrix over the tokens a link needs.
     def prefix(k, s, seen):
-        n = fingerprint(s)
+        m = mix(s)
+        n = fingerprint(m)
         if len(s) and n not in seen:
             seen.add(n)
             p = len(s) - -(-percent * len(s) // 100) + 1
-            yield (n, len(s), tables.raw(ordered(s)[:p])), 8 * p + 16
+            yield (n, len(s), tables.raw(ordered(m)[:p])), 8 * p + 16
 
     heads = _sets(d, prefix, "node long, n int, p binary").groupBy("node").agg(F.first("n").alias("n"), F.first("p").alias("p"))
     matrix_rows = checkpoint(heads.join(member, "node").select("comp", "part", "n", "p"))
@@ -235,16 +244,8 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
     both = open_pairs.select(F.col("ca").alias("comp"), F.col("pa").alias("part")).union(open_pairs.select(F.col("cb").alias("comp"), F.col("pb").alias("part"))).distinct()
     chosen = checkpoint(m2.join(both, ["comp", "part"]))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"comp": [pdf["comp"].iloc[0]], "part": [pdf["part"].iloc[0]], "nodes": [tables.raw(pdf["node"].to_numpy())],
-                             "sizes": [tables.raw(np.array([len(x) // 8 for x in pdf["s"]]))], "s": [b"".join(pdf["s"])]})
-
-    blocks = checkpoint(chosen.join(with_sets(chosen), "node").groupBy("comp", "part").applyInPandas(pack, "comp long, part long, nodes binary, sizes binary, s binary"))
-    ba, bb = (blocks.select(F.col("comp").alias(f"c{x}"), F.col("part").alias(f"p{x}"), F.struct("nodes", "sizes", "s").alias(f"m{x}")) for x in "ab")
-
-    def members(b) -> list[tuple[int, np.ndarray]]:
-        cuts = np.cumsum(tables.array(b["sizes"].as_py(), np.int64))[:-1]
-        return list(zip(tables.array(b["nodes"].as_py(), np.int64).tolist(), np.split(tables.array(b["s"].as_py(), U), cuts), strict=True))
+    blocks = checkpoint(chosen.join(with_sets(chosen), "node").groupBy("comp", "part").agg(gathered))
+    ba, bb = (blocks.select(F.col("comp").alias(f"c{x}"), F.col("part").alias(f"p{x}"), F.col("group").alias(f"m{x}")) for x in "ab")
 
     def opened(batches):
         for batch in batches:
