@@ -171,3 +171,17 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert len(out) and out.groupby("sequence_id")["length"].sum().max() <= 4096
+
+
+def test_links_between_groups_equal_brute_force():
+    from driftwake.llm.near_duplicates import links_between
+
+    rng = np.random.default_rng(5)
+    base = np.arange(1, 41, dtype=np.uint64)
+    near = [(i, np.sort(np.where(rng.random(40) < 0.07, base + np.uint64(1000 * i), base))) for i in range(1, 13)]
+    far = [(i, np.sort(rng.choice(np.arange(5000, 9000, dtype=np.uint64), 30, replace=False))) for i in range(13, 16)]
+    xs, ys = near[:6] + far[:2], near[4:] + far[1:]
+    sets = dict(xs + ys)
+    want = {(a, b) for a, _ in xs for b, _ in ys if a != b and 100 * len(set(sets[a]) & set(sets[b])) >= 75 * len(set(sets[a]) | set(sets[b]))}
+    assert 5 < len(want) < 40 and set(links_between(xs, ys, 75)) == want
+    assert links_between(far[:1], near, 75) == []
