@@ -13,6 +13,8 @@ FEATURES, GAMMA, RIDGE, SEED = 192, 0.15, 1e-2, 20
 #: Most labelled texts that the fit reads.
 SAMPLE = 40_000
 N_STATS = 16
+#: Partitions of the sample's statistics, and so of the sums that the driver adds.
+SUMS = 8
 
 
 def statistics(col: pa.Array) -> np.ndarray:
@@ -90,7 +92,7 @@ def fit_quality(bulletins: DataFrame, labels: DataFrame, key: str = "incident_id
             yield pa.RecordBatch.from_pydict({"v": [total.ravel().tolist()]}, schema=pa.schema([("v", pa.list_(pa.float64()))]))
 
     def add(f, frame):
-        parts = frame.mapInArrow(lambda it: sums(it, f), "v array<double>").toLocalIterator()
+        parts = frame.mapInArrow(lambda it: sums(it, f), "v array<double>").collect()
         total = None
         for r in parts:
             v = np.array(r.v)
@@ -104,7 +106,7 @@ def fit_quality(bulletins: DataFrame, labels: DataFrame, key: str = "incident_id
             yield pa.RecordBatch.from_pydict({"fit": [hash(k) % 4 != 0 for k in b.column(0).to_pylist()], "y": b.column(1), "s": statistics(b.column(2)).tolist()},
                                              schema=pa.schema([("fit", pa.bool_()), ("y", pa.float64()), ("s", pa.list_(pa.float64()))]))
 
-    st = checkpoint(d.mapInArrow(to_stats, "fit boolean, y double, s array<double>"))
+    st = checkpoint(d.mapInArrow(to_stats, "fit boolean, y double, s array<double>")).coalesce(SUMS)
     arr = lambda b: np.array(b.column(2).to_pylist(), float).reshape(-1, N_STATS)
     m = add(lambda b: np.concatenate([[b.num_rows], arr(b).sum(0), (arr(b) ** 2).sum(0)]), st)
     if m is None:
