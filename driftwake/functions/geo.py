@@ -37,9 +37,10 @@ def local_y(lat: Column, lat0: Column) -> Column:
 
 
 def segment_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Distance in metres with the radii taken at the mid latitude of the pair."""
-    mid = (lat1 + lat2) / 2.0
-    return F.hypot((lon2 - lon1) * metres_per_deg_lon(mid), (lat2 - lat1) * metres_per_deg_lat(mid))
+    """Distance in metres with the radii taken at the mid latitude of the pair, the short way round the antimeridian."""
+    mid, d = (lat1 + lat2) / 2.0, lon2 - lon1
+    d = F.when(F.abs(d) > 180.0, d - 360.0 * F.signum(d)).otherwise(d)
+    return F.hypot(d * metres_per_deg_lon(mid), (lat2 - lat1) * metres_per_deg_lat(mid))
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

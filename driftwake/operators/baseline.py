@@ -18,16 +18,26 @@ def strided(pixels: DataFrame, step: int = DEFAULT.baseline.sample_step) -> Data
 
 
 def scene_partials(samples: DataFrame, wind: str = "wind_ms") -> DataFrame:
-    """Mergeable sums per (scene, cell, wind bin) from (scene_id, cell, wind, v)."""
-    return (samples.withColumn("wind_bin", wind_bin(F.col(wind))).groupBy("scene_id", *CELL)
+    """Mergeable sums per (scene, cell, wind bin) from (scene_id, cell, wind, v).
+
+    A ``part`` column names the piece of a scene that a row came in; sums are then kept per piece.
+    """
+    part = ["part"] if "part" in samples.columns else []
+    return (samples.withColumn("wind_bin", wind_bin(F.col(wind))).groupBy("scene_id", *part, *CELL)
             .agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("ss")))
 
 
 def fold(store: DataFrame | None, partials: DataFrame) -> DataFrame:
-    """Scenes not yet in the store, ready to append. Folding a scene twice adds nothing."""
+    """Scenes, or parts of scenes, not yet in the store, ready to append. Folding one twice adds nothing.
+
+    Without a ``part`` column a scene counts as complete in one piece; a scene that arrives in several must name them.
+    """
     if store is None:
         return partials
-    return partials.join(store.select("scene_id").distinct(), "scene_id", "left_anti")
+    keys = [c for c in ("scene_id", "part") if c in partials.columns]
+    seen = store.select(*[F.col(c).alias(f"_{c}") for c in keys]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
+    return partials.join(seen, same, "left_anti")
 
 
 def statistics(store: DataFrame) -> DataFrame:

@@ -71,17 +71,19 @@ def canonical_json_sha256(text: pd.Series) -> pd.Series:
 def append_entries(pending: DataFrame, heads: DataFrame) -> DataFrame:
     """Chain new entries (log_id, seq, body) onto each log's head (log_id, chain_hash).
 
-    Each hash covers its body and the hash before it, which makes one log's new entries sequential:
+    The stored body ends with the hash before it and is what the entry's own hash covers, as ``broken_bodies`` expects.
+    That makes one log's new entries sequential:
     an ordered fold over that log's pending batch, with logs in parallel.
     """
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        prev, prevs, hashes = pdf["head"].iloc[0], [], []
+        prev, prevs, bodies, hashes = pdf["head"].iloc[0], [], [], []
         for body in pdf["body"]:
             prevs.append(prev)
-            prev = hashlib.sha256(f"{body}|{prev}".encode()).hexdigest()
+            bodies.append(f"{body}|{prev}")
+            prev = hashlib.sha256(bodies[-1].encode()).hexdigest()
             hashes.append(prev)
-        return pd.DataFrame({"log_id": pdf["log_id"], "seq": pdf["seq"], "body": pdf["body"], "prev_hash": prevs, "chain_hash": hashes})
+        return pd.DataFrame({"log_id": pdf["log_id"], "seq": pdf["seq"], "body": bodies, "prev_hash": prevs, "chain_hash": hashes})
 
     h = heads.select("log_id", F.col("chain_hash").alias("head"))
     start = pending.join(h, "log_id", "left").withColumn("head", F.coalesce("head", F.lit(GENESIS)))

@@ -126,9 +126,13 @@ def status(store: DataFrame) -> DataFrame:
 
 
 def fold_scenes(spark: SparkSession, folder: str, schema: str, store: str, checkpoint: str):
-    """Incremental baseline: each micro-batch appends the partial sums of scenes the store lacks."""
+    """Incremental baseline: each micro-batch appends the partial sums of scenes the store lacks.
+
+    A scene that is spread over files carries a ``part`` column; a part counts once, however files fall into batches.
+    """
     stream = spark.readStream.schema(schema).parquet(folder)
-    ddl = "scene_id long, cell long, wind_bin string, n long, s double, ss double"
+    part = [f"part {f.dataType.simpleString()}" for f in stream.schema if f.name == "part"]
+    ddl = ", ".join(["scene_id long", *part, "cell long, wind_bin string, n long, s double, ss double"])
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         fresh = baseline.fold(_stored(batch.sparkSession, store, ddl), baseline.scene_partials(batch))

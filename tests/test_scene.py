@@ -74,6 +74,8 @@ def test_baseline_needs_fifteen_scenes(spark):
     df = spark.createDataFrame(rows, "scene_id long, cell long, wind_ms double, v double")
     store = baseline.scene_partials(df)
     assert baseline.fold(store, store).count() == 0
+    first, second = (baseline.scene_partials(df.withColumn("part", F.lit(p))) for p in (1, 2))
+    assert baseline.fold(first, second).count() == second.count() and baseline.fold(first.unionByName(second), second).count() == 0
     stats = baseline.statistics(store)
     assert {r.cell: (r.scenes, round(r.std, 9)) for r in stats.collect()} == {1: (14, round(math.sqrt(1e-9), 9)), 2: (15, round(math.sqrt(1e-9), 9))}
     z = baseline.anomaly_z(df, stats, baseline.robust_background(df))
@@ -114,6 +116,8 @@ def test_affected_shore_cuts_at_the_border(spark):
     sq = spark.createDataFrame([(1, ring((0, 0), (1, 0), (1, 1), (0, 1)))], f"incident_id long, ring {XY}")
     coast = spark.createDataFrame([(1, -0.5, 0.5, 0.5, 0.5), (2, 0.5, 0.5, 0.75, 0.5), (3, 2.0, 0.5, 3.0, 0.5)], "seg_id long, x1 double, y1 double, x2 double, y2 double")
     assert shore.affected_shore(sq, coast).first().affected_km == pytest.approx(0.75 * 111.32, rel=2e-3)
+    far = sq.unionByName(spark.createDataFrame([(2, ring((50, 50), (51, 50), (51, 51)))], sq.schema))
+    assert {r.incident_id: r.affected_km > 0 for r in shore.affected_shore(far, coast).collect()} == {1: True, 2: False}
 
 
 def test_iou_of_shifted_squares(spark):
@@ -132,6 +136,8 @@ def test_audit_chain_append_and_tamper(spark):
     new = spark.createDataFrame([(1, s, f"b{s}") for s in range(5)], "log_id long, seq long, body string")
     log = custody.append_entries(new, spark.createDataFrame([], "log_id long, chain_hash string")).withColumn("incident_id", F.lit(1)).cache()
     assert custody.broken_links(log, ("log_id",), bucket=2).count() == 0
+    assert custody.broken_bodies(log).count() == 0
+    assert [r.seq for r in custody.broken_bodies(log.withColumn("body", F.when(F.col("seq") == 3, "x").otherwise(F.col("body")))).collect()] == [3]
     bad = log.withColumn("chain_hash", F.when(F.col("seq") == 2, "0").otherwise(F.col("chain_hash")))
     assert [r.seq for r in custody.broken_links(bad, ("log_id",), bucket=2).collect()] == [3]
 

@@ -128,6 +128,16 @@ def test_nearest_other_equals_brute_force(spark):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-12) for k in want)
 
 
+def test_nearest_other_at_the_antimeridian_near_the_pole_and_alone(spark):
+    ddl = "id long, lat double, lon double"
+    pts = [(1, 0.0, 179.999), (2, 0.0, -179.999), (3, 80.0, 10.0), (4, 80.0, 15.0), (5, 82.0, 10.0), (6, 5.0, -180.0), (7, 5.0, 179.9)]
+    got = {r.id: r.km for r in matching.nearest_other(spark.createDataFrame(pts, ddl)).collect()}
+    assert got[1] == got[2] == pytest.approx(0.2226, rel=1e-3) and got[6] == got[7] == pytest.approx(11.09, rel=1e-2)
+    assert got[3] == got[4] == pytest.approx(97, rel=2e-2) and got[5] == pytest.approx(223, rel=2e-2)
+    alone = matching.nearest_other(spark.createDataFrame([(1, 1.0, 2.0), (2, None, 2.0)], ddl)).collect()
+    assert sorted((r.id, r.km) for r in alone) == [(1, None), (2, None)]
+
+
 def test_greedy_match_keeps_truth_order(spark):
     det = spark.createDataFrame([(1, 1, 10.0, 10.0), (1, 2, 14.0, 10.0), (1, 3, 90.0, 90.0)], "scene_id long, det_id long, row double, col double")
     truth = spark.createDataFrame([(1, 1, 12.1, 10.0), (1, 2, 13.5, 10.0), (1, 3, 50.0, 50.0)], "scene_id long, truth_id long, row double, col double")
