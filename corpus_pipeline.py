@@ -20,8 +20,8 @@ def keep_usable(spark, docs, sf_dir):
 
 
 def drop_lines(spark, docs, sf_dir):
-    """Removes later copies of repeated line runs from the texts and documents that nothing is left of."""
-    d = line_dedup.strip_repeated_lines(docs, "doc_id", "text")
+    """Removes later copies of repeated line runs and of long lines from the texts and documents that nothing is left of."""
+    d = line_dedup.strip_repeated_lines(docs, "doc_id", "text", min_words=line_dedup.LONG_LINE)
     return d.filter((F.col("n_removed") == 0) | (F.length("text") > 0)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -61,11 +61,18 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.judge_urls(p, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-def op9_strip_lines(spark, sf_dir):
-    d = line_dedup.strip_repeated_lines(bulletins(spark, sf_dir))
+def _stripped_lines(d):
     return d.select(F.col("incident_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("message", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_strip_lines(spark, sf_dir):
+    return _stripped_lines(line_dedup.strip_repeated_lines(bulletins(spark, sf_dir)))
+
+
+def op9_strip_long_lines(spark, sf_dir):
+    return _stripped_lines(line_dedup.strip_repeated_lines(bulletins(spark, sf_dir), min_words=line_dedup.LONG_LINE))
+
+
 def op10_shard(spark, sf_dir):
     d = bulletins(spark, sf_dir).select("incident_id", (F.coalesce(F.octet_length("message"), F.lit(0)) + 8).cast("long").alias("size"),
                                         F.crc32(F.coalesce(F.col("message"), F.lit("")).cast("binary")).alias("text_crc32"))
@@ -74,7 +81,7 @@ def op10_shard(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_pack, op2_extract, op3_near_duplicates, op4_top_k, op5_quality, op6_decontaminate, op7_strip_spans, op8_url_filter,
-                                   op9_strip_lines, op10_shard)}
+                                   op9_strip_lines, op9_strip_long_lines, op10_shard)}
 
 ORACLES = {
     "op4_top_k": """
@@ -100,5 +107,14 @@ s as (select doc_id, i, row_number() over (partition by line, nxt order by doc_i
 g as (select distinct doc_id, i + d i from s, (values (0), (1)) t(d) where rn > 1),
 k as (select l.*, g.i is not null gone from l left join g using (doc_id, i)),
 a as (select doc_id, count(*) n_lines, count(*) filter (gone) n_removed, coalesce(string_agg(line, chr(10) order by i) filter (not gone), '') kept from k group by doc_id)
+select d.doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from documents d left join a using (doc_id)""",
+    "op9_strip_long_lines": """
+with l as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from documents where text is not null),
+w as (select *, lead(line) over (partition by doc_id order by i) nxt from l),
+s as (select doc_id, i, 2 n, row_number() over (partition by line, nxt order by doc_id, i) rn from w where nxt is not null
+      union all select doc_id, i, 1, row_number() over (partition by line order by doc_id, i) from l where len(regexp_extract_all(line, '[^ \\t\\x0b\\f\\r]+')) >= 35),
+g as (select distinct doc_id, i + d i from s, (values (0), (1)) t(d) where rn > 1 and d < n),
+k as (select l.*, g.i is not null gone from l left join g using (doc_id, i)),
+a as (select doc_id, count(*) n_lines, count(*) filter (gone) n_removed, coalesce(string_agg(line, chr(10) order by i) filter (not gone), '') kept from k group by doc_id)
 select d.doc_id, coalesce(n_lines, 0) n_lines, coalesce(n_removed, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 from documents d left join a using (doc_id)""",
 }

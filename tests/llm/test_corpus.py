@@ -97,6 +97,14 @@ def test_lines(spark):
     assert got == [(1, "a\nb\nc", 0), (2, "", 4), (2, "x\nz", 2), (4, "", 0), (5, "a", 3)]
 
 
+def test_long_single_lines(spark):
+    long, short = " ".join(f"w{i}" for i in range(35)), " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"a\n{long}\nb\n{short}"), (2, f"c\n{long}\nd\n{short}\ne"), (3, long), (4, f"b\n{short}"), (None, long), (5, f"x\n{long}\n{long}")]
+    df = spark.createDataFrame(rows, BULLETIN)
+    got = {r.incident_id: (r.message, r.n_removed) for r in line_dedup.strip_repeated_lines(df, min_words=35).collect()}
+    assert got == {None: (long, 0), 1: (f"a\nb\n{short}", 1), 2: (f"c\nd\n{short}\ne", 1), 3: ("", 1), 4: ("", 2), 5: ("x", 2)}
+
+
 def test_chips_equal_brute_force(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(400, 8)).astype("float32").tolist()
