@@ -26,10 +26,16 @@ def drop_lines(spark, docs, sf_dir):
 
 
 def one_of_each(spark, docs, sf_dir):
-    """Keeps the document that names each group of near duplicates; rows that repeat it count once."""
-    g = near_duplicates.near_duplicates(docs, "doc_id", "text").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(g, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Keeps one row of each group of near duplicates: the least doc_id, nulls last, and of its rows the first one.
+
+    Groups are formed over row ids, so rows with null or equal doc_ids and unlike texts are documents of their own.
+    Row ids repeat because the stage reads files.
+    """
+    d = docs.withColumn("_row", F.monotonically_increasing_id())
+    ids = d.select("_row", F.col("doc_id").isNull().alias("_null"), "doc_id")
+    g = near_duplicates.near_duplicates(d, "_row", "text").select("_row", "component_id").join(ids, "_row")
+    kept = g.groupBy("component_id").agg(F.min(F.struct("_null", "doc_id", "_row")).alias("_least")).select("_least._row")
+    return d.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def without_benchmark(spark, docs, sf_dir):

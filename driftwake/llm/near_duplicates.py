@@ -90,7 +90,8 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
     the groups whose union has it among the tokens that a link needs (the least |s| - ceil(percent |s|) + 1 hashes of a
     set); a query group's overlap with each group is counted, groups below the bound are not opened, groups of one
     component are never compared, and groups of unlinked nodes are opened against themselves. Null and blank texts have
-    no shingles and stand alone; rows with equal keys share a component; null keys link, but never name a component.
+    no shingles and stand alone; rows with equal keys link by their texts only; null keys link, but never name a component
+    that has another key.
     """
     d = bulletins.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 

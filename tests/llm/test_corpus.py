@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftwake.llm import chip_search, decontaminate, line_dedup, near_duplicates, packing, page_text, quality, queries, sharding, span_dedup, url_filter
 from tests.harness import compare, duck
@@ -181,6 +182,54 @@ def test_pipeline(spark):
     assert len(out) and out.groupby("sequence_id")["length"].sum().max() <= 4096
 
 
+def test_pipeline_rows_equal_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 5000, 40))
+    a, b, c, d, e, leak = (text() for _ in range(6))
+    near = a.replace(" ", " new ", 1)
+    rows = [(None, a), (None, b), (7, c), (7, d), (5, near), (None, e), (9, e + "\n" + text()), (4, e), (3, leak), (2, None), (None, ""), (8, c + " end")]
+    rows += [(None, text()) for _ in range(20)] + [(20, text()) for _ in range(20)]
+    spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "n long, doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("i", " ".join(leak.split()[5:20]))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/in")
+    order = docs.withColumn("_row", F.monotonically_increasing_id()).orderBy("_row").collect()
+
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for r in order for w in [(r.text or "").split()]]
+    root = list(range(len(order)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and 100 * len(x & sets[j]) >= 75 * len(x | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {min((r.doc_id is None, r.doc_id or 0, r._row, r.n) for r, g in zip(order, root, strict=True) if g == k)[-1] for k in set(root)}
+    got = corpus_pipeline.one_of_each(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.n for r in got) == sorted(want)
+    assert Counter((r.doc_id, r.text) for r in got)[(7, c)] == Counter((r.doc_id, r.text) for r in got)[(7, d)] == 1
+    # The stages after the classifier, each stored and read again, against the rules by hand.
+    full = docs.withColumn("n_chars", F.length("text").cast("long"))
+    for i, stage in enumerate((corpus_pipeline.drop_lines, corpus_pipeline.one_of_each, corpus_pipeline.without_benchmark)):
+        stage(spark, full, str(tmp_path)).write.parquet(f"{tmp_path}/stage-{i}")
+        full = spark.read.parquet(f"{tmp_path}/stage-{i}")
+    seen, kept = set(), []
+    for r in sorted(order, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r._row)):
+        lines = [x for x in (r.text or "").split("\n") if len(x.split()) < 35 or not (x in seen or seen.add(x))]
+        if r.text is not None and (lines or not r.text):
+            kept.append((r.doc_id, "\n".join(lines)))
+        elif r.text is None:
+            kept.append((None if r.doc_id is None else r.doc_id, None))
+    groups = []
+    for k, t in kept:
+        w = (t or "").split()
+        s = {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+        meets = [g for g in groups if any(s and x and 100 * len(s & x) >= 75 * len(s | x) for _, _, x in g)]
+        groups = [g for g in groups if g not in meets] + [[(k, t, s), *(m for g in meets for m in g)]]
+    best = [min(g, key=lambda x: (x[0] is None, x[0] or 0))[:2] for g in groups]
+    assert Counter((r.doc_id, r.text) for r in full.collect()) == Counter(x for x in best if x[1] != leak)
+    packed = corpus_pipeline.pack(spark, full, str(tmp_path)).toPandas()
+    assert packed["length"].gt(0).all() and len(packed) == len(best) - 1
+
+
 def test_links_between_groups_equal_brute_force():
     from driftwake.llm.near_duplicates import links_between
 
