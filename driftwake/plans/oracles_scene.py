@@ -66,12 +66,15 @@ ORACLES: dict[str, str] = {
  from ct join ar using (slick_id) join rc on rc.slick_id=ct.slick_id and rc.r=1""",
     "polygon_iou": "with " + _EDGE + ", ed as (select 0 t, incident_id, x1, y1, x2, y2 from e where slick_id%3=0 union all select 1, incident_id, x1, y1, x2, y2 from {step_edges} where hours_back=1)," + _COVER
         + f", pc as (select incident_id, cx, cy, count(*) n from inn group by all) select incident_id, round(coalesce(sum({_AREA}) filter (where n=2),0.0e0),6) inter_km2, round(sum({_AREA}),6) union_km2, round(coalesce(sum({_AREA}) filter (where n=2),0.0e0)/sum({_AREA}),6) iou from pc group by incident_id",
+    "polygon_iou_all": "with " + _EDGE + ", ed as (select slick_id%3 t, incident_id, x1, y1, x2, y2 from e union all select 2+hours_back, incident_id, x1, y1, x2, y2 from {step_edges})," + _COVER
+        + f", ar as (select t, incident_id, coalesce(a,0.0e0) a from (select distinct t, incident_id from ed) q left join (select t, incident_id, sum({_AREA}) a from inn group by all) r using (t, incident_id)), it as (select a.incident_id, a.t ta, b.t tb, sum({_AREA}) i from inn a join (select t, incident_id, cx, cy from inn) b using (incident_id, cx, cy) where a.t<3 and b.t>=3 group by all), pr as (select a.incident_id, a.t ta, b.t tb, coalesce(i,0.0e0) i, a.a+b.a-coalesce(i,0.0e0) u from ar a join ar b on a.incident_id=b.incident_id and a.t<3 and b.t>=3 left join it on it.incident_id=a.incident_id and it.ta=a.t and it.tb=b.t) select incident_id, incident_id*3+ta slick_id, tb-2 hours_back, round(i,6) inter_km2, round(u,6) union_km2, round(case when u>0 then i/u else 0.0e0 end,6) iou from pr",
     "origin_envelope": "with ed as (select hours_back t, incident_id, x1, y1, x2, y2 from {step_edges})," + _COVER + f", dc as (select distinct incident_id, cx, cy from inn) select incident_id, count(*) cells, round(sum({_AREA}),5) area_km2 from dc group by incident_id",
     "slick_off_land": "with " + _EDGE + "," + _LAND + ", ed as (select slick_id%3 t, incident_id, x1, y1, x2, y2 from e)," + _COVER
         + ", f as (select i.*, l.cx is not null ld from inn i left join land l on l.cx=i.cx and l.cy=i.cy), w as (select t, incident_id, count(*) filter (where not ld) wet from f group by all) select incident_id*3+t slick_id, count(*) cells from f join w using (t, incident_id) where not ld or wet=0 group by all",
     "on_land": "with " + _LAND + " select event_id, mmsi, l.cx is not null on_land from {ais} a left join land l on l.cx=cast(floor(lon/0.02e0) as bigint) and l.cy=cast(floor(lat/0.02e0) as bigint)",
     "land_share": "with " + _LAND + ", g as (select incident_id, unnest(range(cast(floor((cx-0.5e0)/0.02e0) as bigint), cast(floor((cx+0.5e0)/0.02e0) as bigint)+1)) gx, cy from {incidents}), h as (select incident_id, gx, unnest(range(cast(floor((cy-0.5e0)/0.02e0) as bigint), cast(floor((cy+0.5e0)/0.02e0) as bigint)+1)) gy from g) select incident_id, round(avg(case when l.cx is not null then 1.0e0 else 0.0e0 end),6) land_fraction from h left join land l on l.cx=gx and l.cy=gy group by incident_id",
     "coast_distance": "with " + _COAST + " select incident_id, hours_back, round(case when km<=800 then km end,5) distance_km, km<=800 and hit as intersects, km<=800 covered from dd",
+    "coast_distance_all": "with " + _COAST.replace(" where hours_back in (1,16)", "") + " select incident_id, hours_back, round(case when km<=800 then km end,5) distance_km, km<=800 and hit as intersects, km<=800 covered from dd",
     "shore_eta": "with " + _ETA + " select incident_id, round(area_km2,6) area_km2, closest_km, shore_contact, round(eta_hours,6) eta_hours from im",
     "tier": "with " + _ETA + f" select incident_id, cast(tier as bigint) tier, {_SEV} severity, {_REASONS} reasons from tr",
     "recipients": "with " + _RECIP + " select incident_id, cast(tier as bigint) tier, slot, station_id, role, distance_km, bearing_deg, action from rcp",

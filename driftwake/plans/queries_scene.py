@@ -88,12 +88,14 @@ def _affected(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "polygon_metrics": lambda s, d: rounded(polygons.polygon_metrics(slick_rings(s, d)), major_axis_m=3, minor_axis_m=3, major_axis_deg=4).drop("incident_id"),
     "polygon_iou": lambda s, d: rounded(_iou(s, d)),
+    "polygon_iou_all": lambda s, d: rounded(polygons.overlap_all(slick_rings(s, d), qa.step_rings(s, d), "incident_id", "slick_id", "hours_back", RES)),
     "origin_envelope": lambda s, d: rounded(polygons.envelope(qa.step_rings(s, d), RES), 5),
     "slick_off_land": lambda s, d: polygons.off_land(polygons.cell_cover(slick_rings(s, d).select("slick_id", "ring"), RES), _land(s, d), ["slick_id"])
         .groupBy("slick_id").agg(F.count(F.lit(1)).alias("cells")),
     "on_land": lambda s, d: polygons.on_land(table(s, d, "ais").select("event_id", "mmsi", "lat", "lon"), _land(s, d), RES).drop("lat", "lon"),
     "land_share": lambda s, d: rounded(_land_share(s, d)),
     "coast_distance": lambda s, d: rounded(shore.coast_distance(table(s, d, "step_edges").filter("hours_back in (1, 16)"), table(s, d, "coast")), 5),
+    "coast_distance_all": lambda s, d: rounded(shore.coast_distance(table(s, d, "step_edges"), table(s, d, "coast")), 5),
     "affected_shore": _affected,
     "shore_eta": lambda s, d: rounded(shore.shore_eta(table(s, d, "horizons"))),
     "tier": lambda s, d: _tiers(s, d).select("incident_id", "tier", "severity", F.array_join("reasons", "; ").alias("reasons")),

@@ -186,3 +186,24 @@ def test_contracts_reject_and_quarantine(spark):
         contracts.require_columns(d, ["nope"])
     with pytest.raises(ValueError, match="outside its contract"):
         contracts.reject_unknown(d, ["mmsi"])
+
+
+def test_overlap_of_every_pair(spark):
+    def box(x0, x1):
+        return [(0, x0, 0.0), (1, x1, 0.0), (2, x1, 1.0), (3, x0, 1.0)]
+
+    ring = "ring array<struct<k:int,x:double,y:double>>"
+    a = spark.createDataFrame([(1, 3, box(0.0, 1.0)), (1, 4, box(0.5, 1.5)), (2, 6, box(0.0, 1.0))], "incident_id long, slick_id long, " + ring)
+    b = spark.createDataFrame([(1, 1, box(0.0, 1.0)), (1, 2, box(5.0, 6.0)), (2, 1, box(0.0, 2.0))], "incident_id long, hours_back long, " + ring)
+    got = {(r.slick_id, r.hours_back): round(r.iou, 2) for r in polygons.overlap_all(a, b, "incident_id", "slick_id", "hours_back", 0.1).collect()}
+    assert got == {(3, 1): 1.0, (3, 2): 0.0, (4, 1): 0.33, (4, 2): 0.0, (6, 1): 0.5}
+
+
+def test_all_steps_and_detections_are_registered(spark):
+    from driftwake.plans import catalog
+    from driftwake.plans.fixtures import table
+
+    sf, q = "/root/testdata/sf0.001", catalog.queries()
+    steps, slicks = (table(spark, sf, t).select(*k).distinct() for t, k in (("step_edges", ("incident_id", "hours_back")), ("slick_points", ("incident_id", "slick_id"))))
+    assert q["coast_distance_all"](spark, sf).count() == steps.count() > 0
+    assert q["polygon_iou_all"](spark, sf).count() == steps.join(slicks, "incident_id").count() > 0
