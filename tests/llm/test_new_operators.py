@@ -146,17 +146,22 @@ def test_spellings_equal_brute_force(spark, hot):
     assert Counter(map(tuple, spellings.spelling_forms(d, hot=hot).collect())) == forms_by_hand(counts)
 
 
-def test_signatures_meet_for_every_edit(spark):
+def test_signatures_meet_for_every_edit():
+    """Names one edit apart share a signature in the very column that reports their pair."""
     rng = np.random.default_rng(5)
-    rows = []
-    for _ in range(300):
+    for _ in range(400):
         w = "".join(rng.choice(list("abcdeé"), int(rng.integers(1, 12))))
         i = int(rng.integers(len(w)))
-        rows += [(w, w[:i] + w[i + 1:]), (w, w[:i] + "x" + w[i:]), (w, w[:i] + "z" + w[i + 1:])]
-    d = spark.createDataFrame(rows, "a string, b string")
-    (sa, _), (sb, _) = spellings.signatures("a"), spellings.signatures("b")
-    differing = F.size(F.filter(F.zip_with(sa, sb, lambda x, y: x != y), lambda t: t))
-    assert d.filter(differing > spellings.DISTANCE).count() == 0
+        for o in (w[:i] + w[i + 1:], w[:i] + "x" + w[i:], w[:i] + "z" + w[i + 1:], w[:i] + "a" + w[i + 1:]):
+            if o == w:
+                continue
+            a, b = spellings.signatures([w, o])
+            ours, theirs = (defaultdict(set) for _ in range(2))
+            for c, x, y in zip(spellings.COLUMNS, a.tolist(), b.tolist(), strict=True):
+                ours[c].add(x)
+                theirs[c].add(y)
+            shared = [c for c in ours if ours[c] & theirs[c] and spellings._once(w, o, c)]
+            assert len(shared) == 1
 
 
 def test_words_of_messages(spark):
