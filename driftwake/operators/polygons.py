@@ -1,4 +1,4 @@
-"""Polygon operators: metrics, cell covers, overlap, envelopes, land clipping."""
+"""Polygon operators: metrics, cell covers, land clipping. Exact overlays are in ``overlay``."""
 
 from __future__ import annotations
 
@@ -83,36 +83,6 @@ def cell_area_km2(cy: Column, res: float) -> Column:
     return geo.metres_per_deg_lat(lat) * geo.metres_per_deg_lon(lat) * (res * res / 1e6)
 
 
-def overlap(a: DataFrame, b: DataFrame, pair: list[str], res: float) -> DataFrame:
-    """Intersection over union of two ring tables sharing ``pair`` keys, on grid cells."""
-    side = F.struct(F.lit(1).alias("a"), F.lit(0).alias("b")), F.struct(F.lit(0).alias("a"), F.lit(1).alias("b"))
-    cells = (cell_cover(a.select(*pair, "ring"), res).withColumn("s", side[0])
-             .unionByName(cell_cover(b.select(*pair, "ring"), res).withColumn("s", side[1])))
-    per_cell = cells.groupBy(*pair, "cx", "cy").agg(F.max("s.a").alias("a"), F.max("s.b").alias("b"))
-    both = per_cell.withColumn("w", cell_area_km2(F.col("cy"), res)).groupBy(*pair).agg(
-        F.sum(F.when(F.col("a") + F.col("b") == 2, F.col("w")).otherwise(0.0)).alias("inter_km2"), F.sum("w").alias("union_km2"))
-    return both.withColumn("iou", F.when(F.col("union_km2") > 0, F.col("inter_km2") / F.col("union_km2")).otherwise(0.0))
-
-
-def overlap_all(a: DataFrame, b: DataFrame, on: str, a_key: str, b_key: str, res: float) -> DataFrame:
-    """Intersection over union of every ring of ``a`` with every ring of ``b`` that shares ``on``, on grid cells; each pair keeps a row."""
-    w = cell_area_km2(F.col("cy"), res)
-    ca, cb = cell_cover(a.select(on, a_key, "ring"), res), cell_cover(b.select(on, b_key, "ring"), res)
-    area_a, area_b = ca.groupBy(on, a_key).agg(F.sum(w).alias("_a")), cb.groupBy(on, b_key).agg(F.sum(w).alias("_b"))
-    # Sizes of exploded covers are guessed far too low, so the plan must not broadcast one.
-    inter = ca.join(cb.hint("merge"), [on, "cx", "cy"]).groupBy(on, a_key, b_key).agg(F.sum(w).alias("_i"))
-    d = a.select(on, a_key).join(b.select(on, b_key), on).join(area_a, [on, a_key], "left").join(area_b, [on, b_key], "left").join(inter, [on, a_key, b_key], "left")
-    d = d.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("_a", "_b", "_i")}).withColumn("union_km2", F.col("_a") + F.col("_b") - F.col("_i"))
-    return d.select(on, a_key, b_key, F.col("_i").alias("inter_km2"), "union_km2",
-                    F.when(F.col("union_km2") > 0, F.col("_i") / F.col("union_km2")).otherwise(0.0).alias("iou"))
-
-
-def envelope(step_rings: DataFrame, res: float) -> DataFrame:
-    """Origin envelope per incident: the distinct cells over all its steps, with its area."""
-    cells = cell_cover(step_rings.select("incident_id", "ring"), res).distinct()
-    return cells.groupBy("incident_id").agg(F.count(F.lit(1)).alias("cells"), F.sum(cell_area_km2(F.col("cy"), res)).alias("area_km2"))
-
-
 def off_land(cover: DataFrame, land: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of a cover that are not land; a cover lying wholly on land is returned unchanged."""
     tagged = cover.join(land.select("cx", "cy", F.lit(True).alias("_land")), ["cx", "cy"], "left").withColumn("_land", F.coalesce("_land", F.lit(False)))

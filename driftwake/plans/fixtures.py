@@ -67,6 +67,12 @@ select incident_id*3+d slick_id, incident_id, cast(k as bigint) k,
   round(cx+0.4e0*d+(0.10e0+0.002e0*(incident_id%20))*cos(radians(10.0e0*k))*cos(radians(17.37e0+25.0e0*d+incident_id%40))-0.03e0*sin(radians(10.0e0*k))*sin(radians(17.37e0+25.0e0*d+incident_id%40)),6) x,
   round(cy-0.3e0*d+(0.10e0+0.002e0*(incident_id%20))*cos(radians(10.0e0*k))*sin(radians(17.37e0+25.0e0*d+incident_id%40))+0.03e0*sin(radians(10.0e0*k))*cos(radians(17.37e0+25.0e0*d+incident_id%40)),6) y
 from (select *, cast(d0 as bigint) d from (select *, d0 from {incidents} <gen 0,2,d0>) a) b <gen 0,35,k>""",
+    # the outline that was planted near one of an incident's detections
+    "planted_points": """
+select incident_id, cast(k as bigint) k,
+  round(cx+0.4e0*(incident_id%3)+0.015e0+0.115e0*cos(radians(10.0e0*k))*cos(radians(27.0e0+25.0e0*(incident_id%3)+incident_id%40))-0.034e0*sin(radians(10.0e0*k))*sin(radians(27.0e0+25.0e0*(incident_id%3)+incident_id%40)),6) x,
+  round(cy-0.3e0*(incident_id%3)+0.115e0*cos(radians(10.0e0*k))*sin(radians(27.0e0+25.0e0*(incident_id%3)+incident_id%40))+0.034e0*sin(radians(10.0e0*k))*cos(radians(27.0e0+25.0e0*(incident_id%3)+incident_id%40)),6) y
+from (select *, k from {incidents} <gen 0,35,k>) g""",
     # one gridded wind/current field per incident; some retrievals are missing
     "env": """
 select incident_id field_id, cast(ti as bigint) ti, cast(yi as bigint) yi, cast(xi as bigint) xi,

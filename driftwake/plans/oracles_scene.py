@@ -54,27 +54,72 @@ def _cr(o: str, a: str, b: str) -> str:
 
 _X = f"(({_cr('p', 'q', 's')}>0)<>({_cr('p', 'q', 't')}>0) and ({_cr('s', 't', 'p')}>0)<>({_cr('s', 't', 'q')}>0))"
 _COAST = """
-mid as (select incident_id, hours_back, (min(x1)+max(x1))/2 mx, (min(y1)+max(y1))/2 my from {step_edges} where hours_back in (1,16) group by incident_id, hours_back),
+mid as (select incident_id, hours_back, (min(x1)+max(x1))/2 mx, (min(y1)+max(y1))/2 my from {step_edges} group by incident_id, hours_back),
 mm as (select m.incident_id, m.hours_back, (e.x1-mx)*KX px, (e.y1-my)*KY py, (e.x2-mx)*KX qx, (e.y2-my)*KY qy, (c.x1-mx)*KX sx, (c.y1-my)*KY sy, (c.x2-mx)*KX tx, (c.y2-my)*KY ty
   from mid m join {step_edges} e on e.incident_id=m.incident_id and e.hours_back=m.hours_back cross join {coast} c),
 dd as (select incident_id, hours_back, min(case when """.replace("KX", p.lon_m("my")).replace("KY", p.lat_m("my")) + _X + " then 0.0e0 else least(" + ",".join(
     (_ps("px", "py", "s", "t"), _ps("qx", "qy", "s", "t"), _ps("sx", "sy", "p", "q"), _ps("tx", "ty", "p", "q"))) + ") end)/1000.0e0 km, bool_or(" + _X + ") hit from mm group by incident_id, hours_back)"
 
+# detections and the planted outline (slick_id below 0) with their metrics, and the strips under the edges of all outlines
+_PTS = "pts as (select slick_id, incident_id, k, x, y from {slick_points} union all select -1-incident_id, incident_id, k, x, y from {planted_points})," + _MET.replace("{slick_points}", "pts")
+_AR = """
+ori as (select {key}, incident_id, min(x1) ox, min(y1) oy from {edges} group by all),
+ara as (select e.{key}, any_value(e.incident_id) incident_id, sum((x1-ox)*(y2-oy)-(x2-ox)*(y1-oy))/2 sarea from {edges} e join ori using ({key}, incident_id) group by e.{key}),
+sw as (select e.{key}, e.incident_id, least(x1,x2) xl, greatest(x1,x2) xr, case when x1<=x2 then y1 else y2 end-f0 yl, (y2-y1)/(x2-x1) g, sign(x1-x2)*sign(sarea) s
+  from {edges} e join ara using ({key}) join (select incident_id, min(y1) f0 from {edges} group by incident_id) q on q.incident_id=e.incident_id where x1<>x2)"""
+_STRIPS = """
+st as (select a.{key} a, b.{key} b, a.s*b.s s, greatest(a.xl,b.xl) l, least(a.xr,b.xr) r, a.yl ay, a.xl ax, a.g ag, b.yl byl, b.xl bx, b.g bg from sw a join sw b on a.incident_id=b.incident_id and {pair} and a.xl<b.xr and b.xl<a.xr),
+sv as (select a, b, s, r-l w, ay+ag*(l-ax) al, ay+ag*(r-ax) ar, byl+bg*(l-bx) bl, byl+bg*(r-bx) br from st),
+inter as (select a, b, greatest(0.0e0, sum(s*w*case when (al-bl)*(ar-br)>=0 then (least(al,bl)+least(ar,br))/2
+  else (least(al,bl)+(al*br-ar*bl)/(al-ar-bl+br))/2*(al-bl)/(al-bl-ar+br)+((al*br-ar*bl)/(al-ar-bl+br)+least(ar,br))/2*(1-(al-bl)/(al-bl-ar+br)) end)) i from sv group by a, b)"""
+
+
+def _strips(edges: str, key: str, pair: str) -> str:
+    return (_AR + "," + _STRIPS).replace("{key}", key).replace("{edges}", edges).replace("{pair}", pair)
+
+
+_K2 = lambda lat: p.lat_m(lat) + "*" + p.lon_m(lat) + "/1.0e6"
+# area of a union by Green's theorem: what is left of each edge after the stretches inside other rings
+_UNION = """
+ed as (select incident_id i, hours_back h, k, x1, y1, x2, y2 from {step_edges}),
+pr as (select a.i, a.h, a.k, b.h j, a.x2-a.x1 dx, a.y2-a.y1 dy, b.x2-b.x1 ex, b.y2-b.y1 ey, b.x1-a.x1 px, b.y1-a.y1 py,
+  (b.y1>a.y1)<>(b.y2>a.y1) and a.x1<(b.x2-b.x1)*(a.y1-b.y1)/(b.y2-b.y1)+b.x1 ray from ed a join ed b on a.i=b.i and a.h<>b.h and (least(a.x1,a.x2)<=greatest(b.x1,b.x2))),
+pt as (select i, h, k, j, ray, case when dx*ey-dy*ex<>0 then (px*ey-py*ex)/(dx*ey-dy*ex) end t, case when dx*ey-dy*ex<>0 then (px*dy-py*dx)/(dx*ey-dy*ex) end u from pr),
+ps as (select i, h, k, j, count(*) filter (ray)%2 odd, coalesce(list(t order by t) filter (t>0 and t<1 and u>=0 and u<1), []) ts from pt group by i, h, k, j),
+pb as (select i, h, k, j, ts, list_concat(case when odd=1 then [0.0e0] else []::double[] end, ts, case when (odd+len(ts))%2=1 then [1.0e0] else []::double[] end) b from ps),
+iv as (select i, h, k, b[n] s, b[n+1] z from (select i, h, k, b, unnest(range(1, len(b), 2)) n from pb) q),
+cv as (select i, h, k, sum(greatest(0.0e0, z-greatest(s, coalesce(w, 0.0e0)))) c from (select *, max(z) over (partition by i, h, k order by s, z rows between unbounded preceding and 1 preceding) w from iv) q group by i, h, k),
+ce as (select i, min(x1) ox, min(y1) oy, (min(y1)+max(y1))/2 lat from ed group by i),
+ua as (select ed.i, sum((1-coalesce(c,0.0e0))*((x1-ox)*(y2-oy)-(x2-ox)*(y1-oy)))/2 area, any_value(lat) lat, count(distinct ed.h) n_rings from ed join ce using (i) left join cv using (i, h, k) group by ed.i),
+lk as (select i, count(distinct h) n from pb where j=h+1 and len(ts)>0 group by i)"""
+
 ORACLES: dict[str, str] = {
     "polygon_metrics": "with " + _MET + """ select ct.slick_id, round(area/1.0e6,6) area_km2, round(perim/1000.0e0,6) perimeter_km, round(lat,6) centroid_lat, round(lon,6) centroid_lon, round(greatest(w,h),3) major_axis_m, round(least(w,h),3) minor_axis_m,
  round(mod(90.0e0-degrees(case when w>=h then th else th+pi()/2 end)+720.0e0,180.0e0),4) major_axis_deg, round(sqrt(greatest(0,1-pow(least(w,h)/greatest(w,h),2))),6) eccentricity, round(perim/(2*sqrt(pi()*area)),6) shape_complexity
  from ct join ar using (slick_id) join rc on rc.slick_id=ct.slick_id and rc.r=1""",
-    "polygon_iou": "with " + _EDGE + ", ed as (select 0 t, incident_id, x1, y1, x2, y2 from e where slick_id%3=0 union all select 1, incident_id, x1, y1, x2, y2 from {step_edges} where hours_back=1)," + _COVER
-        + f", pc as (select incident_id, cx, cy, count(*) n from inn group by all) select incident_id, round(coalesce(sum({_AREA}) filter (where n=2),0.0e0),6) inter_km2, round(sum({_AREA}),6) union_km2, round(coalesce(sum({_AREA}) filter (where n=2),0.0e0)/sum({_AREA}),6) iou from pc group by incident_id",
-    "polygon_iou_all": "with " + _EDGE + ", ed as (select slick_id%3 t, incident_id, x1, y1, x2, y2 from e union all select 2+hours_back, incident_id, x1, y1, x2, y2 from {step_edges})," + _COVER
-        + f", ar as (select t, incident_id, coalesce(a,0.0e0) a from (select distinct t, incident_id from ed) q left join (select t, incident_id, sum({_AREA}) a from inn group by all) r using (t, incident_id)), it as (select a.incident_id, a.t ta, b.t tb, sum({_AREA}) i from inn a join (select t, incident_id, cx, cy from inn) b using (incident_id, cx, cy) where a.t<3 and b.t>=3 group by all), pr as (select a.incident_id, a.t ta, b.t tb, coalesce(i,0.0e0) i, a.a+b.a-coalesce(i,0.0e0) u from ar a join ar b on a.incident_id=b.incident_id and a.t<3 and b.t>=3 left join it on it.incident_id=a.incident_id and it.ta=a.t and it.tb=b.t) select incident_id, incident_id*3+ta slick_id, tb-2 hours_back, round(i,6) inter_km2, round(u,6) union_km2, round(case when u>0 then i/u else 0.0e0 end,6) iou from pr",
-    "origin_envelope": "with ed as (select hours_back t, incident_id, x1, y1, x2, y2 from {step_edges})," + _COVER + f", dc as (select distinct incident_id, cx, cy from inn) select incident_id, count(*) cells, round(sum({_AREA}),5) area_km2 from dc group by incident_id",
+    **dict.fromkeys(("polygon_iou", "polygon_iou_all"), "with " + _MET + """, ed as (select slick_id id, incident_id, x1, y1, x2, y2 from e union all select -(incident_id*100+hours_back), incident_id, x1, y1, x2, y2 from {step_edges}),""" + _strips("ed", "id", "a.id>=0 and b.id<0")
+        + ", pr as (select a.incident_id, a.id slick_id, -b.id%100 hours_back, abs(a.sarea) aa, abs(b.sarea) ba, least(coalesce(i,0.0e0),abs(a.sarea),abs(b.sarea)) i, " + _K2("lat")
+        + " k2 from ara a join ara b on a.incident_id=b.incident_id and a.id>=0 and b.id<0 join ct on ct.slick_id=a.id left join inter on inter.a=a.id and inter.b=b.id) select incident_id, slick_id, hours_back, round(i*k2,4) inter_km2, round((aa+ba-i)*k2,4) union_km2, round(i/(aa+ba-i),6) iou from pr"),
+    "best_detection": "with " + _PTS + ", ed as (select slick_id id, incident_id, x1, y1, x2, y2 from e)," + _strips("ed", "id", "a.id<0 and b.id>=0") + """,
+ pr as (select a.incident_id, b.id, coalesce(i,0.0e0)/(abs(a.sarea)+abs(b.sarea)-coalesce(i,0.0e0)) iou, abs(b.sarea) ba from ara a join ara b on a.incident_id=b.incident_id and a.id<0 and b.id>=0 left join inter on inter.a=a.id and inter.b=b.id),
+ bd as (select *, row_number() over (partition by incident_id order by iou desc, ba desc, id) n, count(*) over (partition by incident_id) c from pr),
+ mt as (select ct.slick_id, lon, lat, area/1.0e6 area, mod(90.0e0-degrees(case when w>=h then th else th+pi()/2 end)+720.0e0,180.0e0) ax from ct join ar using (slick_id) join rc on rc.slick_id=ct.slick_id and rc.r=1),
+ oo as (select bd.incident_id, c n_detections, id slick_id, iou, t.area ta, m.area ma, t.ax tx, m.ax mx, (m.lon-t.lon)*""" + p.lon_m("((t.lat+m.lat)/2)") + " ox, (m.lat-t.lat)*" + p.lat_m("((t.lat+m.lat)/2)") + """ oy
+   from bd join mt m on m.slick_id=bd.id join mt t on t.slick_id=-1-bd.incident_id where n=1)
+ select incident_id, n_detections, slick_id, round(iou,5) iou, round(ta,5) planted_area_km2, round(ma,5) best_area_km2, round(tx,4) planted_axis_deg, round(mx,4) best_axis_deg, round(sqrt(ox*ox+oy*oy)/1000,5) centroid_offset_km, round(ma-ta,5) area_delta_km2,
+  round(least(mod(abs(mx-tx),180.0e0),180.0e0-mod(abs(mx-tx),180.0e0)),4) axis_delta_deg from oo""",
+    "origin_envelope": "with " + _UNION + " select ua.i incident_id, n_rings, n_rings-n n_parts, round(area*" + _K2("lat") + ",4) area_km2 from ua join lk using (i)",
+    "scene_parts": "with " + _PTS + ", ed as (select slick_id id, incident_id, x1, y1, x2, y2 from e)," + _strips("ed", "id", "a.id<0 and b.id>=0") + """,
+ pr as (select a.incident_id, abs(a.sarea) pa, abs(b.sarea) ba, coalesce(i,0.0e0) i from ara a join ara b on a.incident_id=b.incident_id and a.id<0 and b.id>=0 left join inter on inter.a=a.id and inter.b=b.id),
+ la as (select incident_id, (min(y1)+max(y1))/2 lat from e group by incident_id),
+ pp as (select incident_id, count(*)+1 n_rings, count(*)+1-count(*) filter (i>0) n_parts, greatest(any_value(pa)+coalesce(sum(ba-i) filter (i>0),0.0e0), coalesce(max(ba) filter (i=0),0.0e0)) area from pr group by incident_id)
+ select incident_id, n_rings, n_parts, round(area*""" + _K2("lat") + ",4) area_km2 from pp join la using (incident_id)",
     "slick_off_land": "with " + _EDGE + "," + _LAND + ", ed as (select slick_id%3 t, incident_id, x1, y1, x2, y2 from e)," + _COVER
         + ", f as (select i.*, l.cx is not null ld from inn i left join land l on l.cx=i.cx and l.cy=i.cy), w as (select t, incident_id, count(*) filter (where not ld) wet from f group by all) select incident_id*3+t slick_id, count(*) cells from f join w using (t, incident_id) where not ld or wet=0 group by all",
     "on_land": "with " + _LAND + " select event_id, mmsi, l.cx is not null on_land from {ais} a left join land l on l.cx=cast(floor(lon/0.02e0) as bigint) and l.cy=cast(floor(lat/0.02e0) as bigint)",
     "land_share": "with " + _LAND + ", g as (select incident_id, unnest(range(cast(floor((cx-0.5e0)/0.02e0) as bigint), cast(floor((cx+0.5e0)/0.02e0) as bigint)+1)) gx, cy from {incidents}), h as (select incident_id, gx, unnest(range(cast(floor((cy-0.5e0)/0.02e0) as bigint), cast(floor((cy+0.5e0)/0.02e0) as bigint)+1)) gy from g) select incident_id, round(avg(case when l.cx is not null then 1.0e0 else 0.0e0 end),6) land_fraction from h left join land l on l.cx=gx and l.cy=gy group by incident_id",
     "coast_distance": "with " + _COAST + " select incident_id, hours_back, round(case when km<=800 then km end,5) distance_km, km<=800 and hit as intersects, km<=800 covered from dd",
-    "coast_distance_all": "with " + _COAST.replace(" where hours_back in (1,16)", "") + " select incident_id, hours_back, round(case when km<=800 then km end,5) distance_km, km<=800 and hit as intersects, km<=800 covered from dd",
+    "coast_distance_all": "with " + _COAST + " select incident_id, hours_back, round(case when km<=800 then km end,5) distance_km, km<=800 and hit as intersects, km<=800 covered from dd",
     "shore_eta": "with " + _ETA + " select incident_id, round(area_km2,6) area_km2, closest_km, shore_contact, round(eta_hours,6) eta_hours from im",
     "tier": "with " + _ETA + f" select incident_id, cast(tier as bigint) tier, {_SEV} severity, {_REASONS} reasons from tr",
     "recipients": "with " + _RECIP + " select incident_id, cast(tier as bigint) tier, slot, station_id, role, distance_km, bearing_deg, action from rcp",

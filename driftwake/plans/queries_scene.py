@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwake.operators import attribution as at
-from driftwake.operators import polygons, serve, shore
+from driftwake.operators import overlay, polygons, serve, shore
 from driftwake.plans import queries_attribution as qa
 from driftwake.plans.fixtures import table
 from driftwake.plans.queries_vessel import joined, rounded
@@ -26,9 +26,21 @@ def _land(s: SparkSession, d: str) -> DataFrame:
     return c.select("cy", F.explode(F.sequence(F.floor(F.col("x") / RES) + 1, F.lit(3800).cast("bigint"))).alias("cx"))
 
 
+def planted_rings(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "planted_points").groupBy("incident_id").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("ring"))
+
+
 def _iou(s: SparkSession, d: str) -> DataFrame:
-    slick = slick_rings(s, d).filter("slick_id = incident_id * 3")
-    return polygons.overlap(slick, qa.step_rings(s, d).filter("hours_back = 1"), ["incident_id"], RES)
+    over = overlay.polygon_overlap(slick_rings(s, d), qa.step_rings(s, d), "incident_id", "slick_id", "hours_back")
+    return rounded(over, inter_km2=4, union_km2=4)
+
+
+def _best_detection(s: SparkSession, d: str) -> DataFrame:
+    return rounded(overlay.best_detection(slick_rings(s, d), planted_rings(s, d)), 5, planted_axis_deg=4, best_axis_deg=4, axis_delta_deg=4)
+
+
+def _scene_parts(s: SparkSession, d: str) -> DataFrame:
+    return overlay.union_parts(slick_rings(s, d).select("incident_id", "ring").unionByName(planted_rings(s, d)))
 
 
 def _land_share(s: SparkSession, d: str) -> DataFrame:
@@ -87,14 +99,16 @@ def _affected(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "polygon_metrics": lambda s, d: rounded(polygons.polygon_metrics(slick_rings(s, d)), major_axis_m=3, minor_axis_m=3, major_axis_deg=4).drop("incident_id"),
-    "polygon_iou": lambda s, d: rounded(_iou(s, d)),
-    "polygon_iou_all": lambda s, d: rounded(polygons.overlap_all(slick_rings(s, d), qa.step_rings(s, d), "incident_id", "slick_id", "hours_back", RES)),
-    "origin_envelope": lambda s, d: rounded(polygons.envelope(qa.step_rings(s, d), RES), 5),
+    "polygon_iou": _iou,
+    "polygon_iou_all": _iou,
+    "best_detection": _best_detection,
+    "origin_envelope": lambda s, d: rounded(overlay.union_parts(qa.step_rings(s, d)), 4),
+    "scene_parts": lambda s, d: rounded(_scene_parts(s, d), 4),
     "slick_off_land": lambda s, d: polygons.off_land(polygons.cell_cover(slick_rings(s, d).select("slick_id", "ring"), RES), _land(s, d), ["slick_id"])
         .groupBy("slick_id").agg(F.count(F.lit(1)).alias("cells")),
     "on_land": lambda s, d: polygons.on_land(table(s, d, "ais").select("event_id", "mmsi", "lat", "lon"), _land(s, d), RES).drop("lat", "lon"),
     "land_share": lambda s, d: rounded(_land_share(s, d)),
-    "coast_distance": lambda s, d: rounded(shore.coast_distance(table(s, d, "step_edges").filter("hours_back in (1, 16)"), table(s, d, "coast")), 5),
+    "coast_distance": lambda s, d: rounded(shore.coast_distance(table(s, d, "step_edges"), table(s, d, "coast")), 5),
     "coast_distance_all": lambda s, d: rounded(shore.coast_distance(table(s, d, "step_edges"), table(s, d, "coast")), 5),
     "affected_shore": _affected,
     "shore_eta": lambda s, d: rounded(shore.shore_eta(table(s, d, "horizons"))),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftwake.config import Config, PriorConfig
 from driftwake.functions import geo
-from driftwake.operators import attribution, baseline, components, custody, evaluation, polygons, raster, shore
+from driftwake.operators import attribution, baseline, components, custody, evaluation, overlay, polygons, raster, shore
 from driftwake.sources import contracts, readers, writers
 
 XY = "array<struct<x:double,y:double>>"
@@ -123,7 +123,8 @@ def test_affected_shore_cuts_at_the_border(spark):
 def test_iou_of_shifted_squares(spark):
     a = spark.createDataFrame([(1, ring((0, 0), (1, 0), (1, 1), (0, 1)))], f"i long, ring {XY}")
     b = spark.createDataFrame([(1, ring((0.5, 0), (1.5, 0), (1.5, 1), (0.5, 1)))], f"i long, ring {XY}")
-    assert polygons.overlap(a, b, ["i"], 0.01).first().iou == pytest.approx(1 / 3, rel=1e-3)
+    both = overlay.polygon_overlap(a.withColumn("j", F.lit(1)), b.withColumn("k", F.lit(1)), "i", "j", "k")
+    assert both.first().iou == pytest.approx(1 / 3, rel=1e-12)
 
 
 def test_land_clip_keeps_a_cover_that_would_vanish(spark):
@@ -195,7 +196,7 @@ def test_overlap_of_every_pair(spark):
     ring = "ring array<struct<k:int,x:double,y:double>>"
     a = spark.createDataFrame([(1, 3, box(0.0, 1.0)), (1, 4, box(0.5, 1.5)), (2, 6, box(0.0, 1.0))], "incident_id long, slick_id long, " + ring)
     b = spark.createDataFrame([(1, 1, box(0.0, 1.0)), (1, 2, box(5.0, 6.0)), (2, 1, box(0.0, 2.0))], "incident_id long, hours_back long, " + ring)
-    got = {(r.slick_id, r.hours_back): round(r.iou, 2) for r in polygons.overlap_all(a, b, "incident_id", "slick_id", "hours_back", 0.1).collect()}
+    got = {(r.slick_id, r.hours_back): round(r.iou, 2) for r in overlay.polygon_overlap(a, b, "incident_id", "slick_id", "hours_back").collect()}
     assert got == {(3, 1): 1.0, (3, 2): 0.0, (4, 1): 0.33, (4, 2): 0.0, (6, 1): 0.5}
 
 
