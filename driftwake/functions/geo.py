@@ -113,6 +113,11 @@ def ring_area(ring: Column) -> Column:
     return F.abs(ring_signed_area(ring))
 
 
+def ring_area_about(ring: Column, o: Column) -> Column:
+    """Area from coordinates relative to a point near the ring, which keeps small rings well conditioned."""
+    return F.abs(_closed(ring, lambda p, q: (p.x - o.x) * (q.y - o.y) - (q.x - o.x) * (p.y - o.y))) / 2.0
+
+
 def ring_perimeter(ring: Column) -> Column:
     return _closed(ring, lambda p, q: F.hypot(q.x - p.x, q.y - p.y))
 

@@ -13,20 +13,21 @@ from driftwake.session import spread
 
 
 def sweep_edges(ring: Column) -> Column:
-    """Edges of a ring by rising x: from (x1, y1) to x2 with slope g, and s = +1 above the inside, -1 below it. Upright edges bound no area."""
-    n, turn = F.size(ring), F.signum(geo.ring_signed_area(ring))
+    """Edges of a ring by rising x: from (x1, y1) to x2 with slope g, and s = +1 above the inside of a counter-clockwise ring, -1 below it.
+    Upright edges bound no area."""
+    n = F.size(ring)
 
     def edge(i: Column) -> Column:
         p, q = F.get(ring, i), F.get(ring, (i + 1) % n)
         back = p.x > q.x
         return F.struct(F.least(p.x, q.x).alias("x1"), F.greatest(p.x, q.x).alias("x2"), F.when(back, q.y).otherwise(p.y).alias("y1"),
-                        F.try_divide(q.y - p.y, q.x - p.x).alias("g"), (F.signum(p.x - q.x) * turn).alias("s"))
+                        F.try_divide(q.y - p.y, q.x - p.x).alias("g"), F.signum(p.x - q.x).alias("s"))
 
     return F.filter(F.transform(F.sequence(F.lit(0), n - 1), edge), lambda e: e.s != 0)
 
 
 def intersection_area(a: Column, b: Column, floor: Column) -> Column:
-    """Common area of two simple polygons given by their ``sweep_edges``, whatever their size.
+    """Common area of two simple polygons given by their ``sweep_edges``, whatever their size; negative if they wind differently.
 
     A polygon is the signed sum of the strips under its edges, so the common area is the signed sum of the common strips: for two
     edges that is the integral of the lower line over the x range of both. ``floor`` is any y near the polygons.
@@ -50,13 +51,13 @@ def polygon_overlap(a: DataFrame, b: DataFrame, on: str, a_key: str, b_key: str)
     centroid of a's ring. Rings may wind either way; every pair keeps a row, a ring without area has iou 0."""
     def prepared(d: DataFrame, key: str, p: str) -> DataFrame:
         ring, o = F.col("ring"), F.get(F.col("ring"), F.lit(0))
-        own = F.transform(ring, lambda v: F.struct((v.x - o.x).alias("x"), (v.y - o.y).alias("y")))  # small coordinates keep the area well conditioned
-        return d.select(on, key, sweep_edges(ring).alias(f"{p}_e"), geo.ring_bounds(ring).alias(f"{p}_b"), geo.ring_area(own).alias(f"{p}_area"), geo.ring_centroid(ring).y.alias(f"{p}_lat"))
+        d = spread(d.select(on, key, "ring"), on)  # little data, much work: not to be gathered by bytes into few tasks
+        return d.select(on, key, sweep_edges(ring).alias(f"{p}_e"), geo.ring_bounds(ring).alias(f"{p}_b"), geo.ring_area_about(ring, o).alias(f"{p}_area"), geo.ring_centroid(ring).y.alias(f"{p}_lat"))
 
     d = prepared(a, a_key, "a").join(prepared(b, b_key, "b"), on)
     box, other = F.col("a_b"), F.col("b_b")
     meet = (box.x0 < other.x1) & (other.x0 < box.x1) & (box.y0 < other.y1) & (other.y0 < box.y1)
-    common = F.when(meet, F.greatest(F.lit(0.0), intersection_area(F.col("a_e"), F.col("b_e"), F.least(box.y0, other.y0)))).otherwise(0.0)
+    common = F.when(meet, F.abs(intersection_area(F.col("a_e"), F.col("b_e"), F.least(box.y0, other.y0)))).otherwise(0.0)
     lat = F.coalesce("a_lat", box.y0)
     scale = geo.metres_per_deg_lat(lat) * geo.metres_per_deg_lon(lat) / 1e6
     d = d.select(on, a_key, b_key, "a_area", "b_area", scale.alias("_km2"), F.least(common, F.col("a_area"), F.col("b_area")).alias("_common"))
@@ -71,13 +72,13 @@ def best_detection(detections: DataFrame, reference: DataFrame) -> DataFrame:
     ``detections`` (incident_id, slick_id, ring) and ``reference`` (incident_id, ring, one each). Areas, long-axis bearings and
     centroids of both, iou, centroid offset and angle between the axes. Without any detection the reference keeps its row.
     """
-    ref = polygon_metrics(reference.select("incident_id", "ring")).select(
+    ref = polygon_metrics(spread(reference.select("incident_id", "ring"), "incident_id")).select(
         "incident_id", F.col("area_km2").alias("planted_area_km2"), F.col("major_axis_deg").alias("planted_axis_deg"), F.col("centroid_lat").alias("_lat"), F.col("centroid_lon").alias("_lon"))
     # only the winner is measured, so each reference meets a handful of overlaps and one rectangle
     over = polygon_overlap(reference.withColumn("_one", F.lit(0)), detections, "incident_id", "_one", "slick_id")
     area = detections.select("incident_id", "slick_id", "ring", geo.ring_area(F.col("ring")).alias("_area"))
     won = over.join(area, ["incident_id", "slick_id"]).groupBy("incident_id").agg(F.max(F.struct("iou", "_area", (-F.col("slick_id")).alias("k"), "ring")).alias("w"), F.count(F.lit(1)).alias("n_detections"))
-    best = polygon_metrics(won.select("incident_id", (-F.col("w.k")).alias("slick_id"), F.col("w.iou").alias("iou"), "n_detections", F.col("w.ring").alias("ring")))
+    best = polygon_metrics(spread(won, "incident_id").select("incident_id", (-F.col("w.k")).alias("slick_id"), F.col("w.iou").alias("iou"), "n_detections", F.col("w.ring").alias("ring")))
     d = ref.join(best, "incident_id", "left")
     mid = (F.col("_lat") + F.col("centroid_lat")) / 2
     offset = F.hypot((F.col("centroid_lon") - F.col("_lon")) * geo.metres_per_deg_lon(mid), (F.col("centroid_lat") - F.col("_lat")) * geo.metres_per_deg_lat(mid)) / 1000
