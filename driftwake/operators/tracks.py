@@ -105,6 +105,17 @@ def dwell_in_bbox(ais: DataFrame, min_lon: float, min_lat: float, max_lon: float
         F.count(F.lit(1)).alias("fixes"))
 
 
+def dwell_ranking(ais: DataFrame, min_lon: float, min_lat: float, max_lon: float, max_lat: float, keep: int = 10, min_kn: float = 1.0) -> DataFrame:
+    """Vessels by their time inside a box, longest first, ties to the nearer approach to its centre, then the lesser id: rank and the dwell columns.
+
+    Vessels that never move there are left out; the sort keeps ``keep`` rows a task before they meet.
+    """
+    moving = in_bbox(ais, min_lon, min_lat, max_lon, max_lat).filter(F.col("sog") > min_kn).select("mmsi").distinct()
+    d = dwell_in_bbox(ais, min_lon, min_lat, max_lon, max_lat).join(moving, "mmsi", "left_semi")
+    top = d.orderBy(F.desc("dwell_h"), "centre_d2", "mmsi").limit(keep)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("dwell_h"), "centre_d2", "mmsi")).cast("long"))
+
+
 def track_intervals(ais: DataFrame) -> DataFrame:
     """Linear pieces [t0, t1] of every track; a vessel's first fix is a zero-length piece."""
     n = neighbours(ais.select("mmsi", *FIX), ["mmsi"], ["t_us"], FIX, time_bucket("t_us"))

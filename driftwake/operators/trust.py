@@ -83,8 +83,12 @@ def mid_flag_check(ais: DataFrame) -> DataFrame:
     return m.select("mmsi", "flag", expected.alias("expected"), code.alias("code")).filter("code is not null")
 
 
-def trust_scores(ais: DataFrame, duplicates: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """Per-vessel trust: codes, penalty score, classification and prior, in one aggregation over segments."""
+def trust_scores(ais: DataFrame, duplicates: DataFrame | None = None, cfg: Config = DEFAULT, radar: DataFrame | None = None) -> DataFrame:
+    """Per-vessel trust: codes, penalty score, classification and prior, in one aggregation over segments.
+
+    ``duplicates`` (mmsi, see ``duplicate_positions``) raises DUPLICATE_MMSI; ``radar`` (mmsi, radar_matched, see ``matching.radar_evidence``)
+    makes a vessel that its scenes do not show a PHANTOM, unless its identity is in conflict. Without them neither can come out.
+    """
     t = cfg.trust
     seg = checked_segments(ais, cfg).groupBy("mmsi").agg(
         F.count(F.lit(1)).alias("n_fixes"), F.count_if("is_disagree").alias("n_disagree"),
@@ -97,6 +101,10 @@ def trust_scores(ais: DataFrame, duplicates: DataFrame | None = None, cfg: Confi
     else:
         joined = joined.join(duplicates.select("mmsi", F.lit(True).alias("dup")), "mmsi", "left").withColumn(
             "dup", F.coalesce("dup", F.lit(False)))
+    if radar is None:
+        joined = joined.withColumn("radar_matched", F.lit(None).cast("boolean"))
+    else:
+        joined = joined.join(radar.select("mmsi", "radar_matched"), "mmsi", "left")
     full = F.col("n_fixes") >= 3
 
     def raised(cond, code):
@@ -124,11 +132,21 @@ def trust_scores(ais: DataFrame, duplicates: DataFrame | None = None, cfg: Confi
         F.lit("MID_FLAG_MISMATCH"), F.lit("DUPLICATE_MMSI"), F.lit("POSITION_TELEPORT")))
     d = d.select("mmsi", "n_fixes", "codes", n_warn.alias("n_warn"), n_crit.alias("n_critical"),
                  F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - penalty)).alias("score"),
-                 vessel.classify(identity).alias("classification"))
+                 vessel.classify(identity, F.coalesce("radar_matched", F.lit(True))).alias("classification"))
     return d.withColumn("trust_prior",
                         vessel.trust_prior(F.col("classification"), F.col("n_critical"), F.col("n_warn"), cfg))
 
 
+def identity_mismatches(scores: DataFrame) -> DataFrame:
+    """The vessels whose identity is in conflict, with what was raised against them."""
+    return scores.filter(F.col("classification") == "IDENTITY_MISMATCH").select("mmsi", "codes", "score", "trust_prior")
+
+
+def unexpected_flags(scores: DataFrame, expected: DataFrame) -> DataFrame:
+    """(mmsi, code) raised but not among the ``expected`` ones."""
+    return scores.select("mmsi", F.explode("codes").alias("code")).join(expected.select("mmsi", "code"), ["mmsi", "code"], "left_anti")
+
+
 def trust_summary(scores: DataFrame) -> DataFrame:
     return scores.agg(
         F.count(F.lit(1)).alias("scored"), F.count_if(F.size("codes") > 0).alias("flagged"),

@@ -120,6 +120,14 @@ select l_orderkey incident_id, cast(l_linenumber*6 as bigint) horizon_hours,
   floor(max(l_extendedprice)/4.0e0)/100.0e0+0.003e0 area_km2 from {lineitem} group by l_orderkey, l_linenumber""",
     "targets": """
 select 900000+mmsi%100000 target_id, round(lat+case when mmsi%2=0 then 0.004e0 else 0.03e0 end,6) lat, round(lon-0.003e0,6) lon, t_us from (select *, row_number() over (partition by mmsi order by abs(t_us-(select min(<us>)+21600000000 from {events})), event_id) rn from {ais}) q where rn=1 and mmsi%3=0""",
+    # one radar scene per incident, its footprint about the slick; and the targets it shows: vessels near their fixes, some off them, some unseen
+    "scenes": """
+select incident_id scene_id, acq_us, round(cx-1.2e0,4) x0, round(cy-1.2e0,4) y0, round(cx+1.2e0,4) x1, round(cy+1.2e0,4) y1 from {incidents}""",
+    "scene_targets": """
+select scene_id, scene_id*1000000+mmsi%100000 target_id, round(lat+case when mmsi%2=0 then 0.004e0 else 0.03e0 end,6) lat, round(lon-0.003e0,6) lon,
+  round(30.0e0+(mmsi*31+scene_id*7)%97/4.0e0,3) peak_intensity, cast(4+(mmsi+scene_id)%40 as bigint) pixels
+from (select s.scene_id, a.mmsi, a.lat, a.lon, row_number() over (partition by s.scene_id, a.mmsi order by abs(a.t_us-s.acq_us), a.event_id) rn
+  from {ais} a join {scenes} s on cast(floor(a.t_us/600000000.0e0) as bigint)=cast(floor(s.acq_us/600000000.0e0) as bigint) and a.lon between s.x0 and s.x1 and a.lat between s.y0 and s.y1) q where rn=1 and mmsi%3<>1""",
     "observations": """
 select concat('obs-', cast(page_id as <str>)) observation_id, case page_id%3 when 0 then 'REAL_REPLAY' when 1 then 'SYNTHETIC' else 'LIVE_NRT' end mode, url product, case when page_id%4=0 then null else page_id*3600000000 end acquired_us, page_id%3<>2 pixels_local from {pages}""",
     "audit": """

@@ -20,6 +20,16 @@ tr as (select a.*, m.code, case when n_fixes<3 then 1 else 0 end sparse, case wh
 scored as (select mmsi, n_fixes, sparse, f1, f2, f3, f4, f5, f6, greatest(0.0e0,least(1.0e0,1.0e0-((sparse+f5)*0.03e0+(f1+f6)*0.12e0+(f2+f3+f4)*0.35e0))) score,
   case when f4+f2>0 then 'IDENTITY_MISMATCH' else 'MATCHED' end classification,
   case when f4+f2>0 then 1.3e0 when f2+f3+f4>0 then 0.6e0 when f1+f6>0 then 0.9e0 else 1.0e0 end trust_prior from tr)"""
+DUPLICATES = """
+dp as (select *, lag(t_us) over w pt, lag(lat) over w plat, lag(lon) over w plon from {ais_raw} window w as (partition by mmsi order by t_us, event_id)),
+dupv as (select mmsi, apart from (select mmsi, """ + p.dist_m("plat", "plon", "lat", "lon") + """/1000.0e0 apart, row_number() over (partition by mmsi order by t_us, event_id) k from dp where t_us<=pt) q where k=1 and apart>1.0e0)"""
+# with duplicated identities (f7)
+TRUST_DUP = DUPLICATES + "," + TRUST_TAIL.replace(
+    "else 0 end f6 from agg a left join mid m on m.mmsi=a.mmsi)", "else 0 end f6, case when dv.mmsi is not null then 1 else 0 end f7 from agg a left join mid m on m.mmsi=a.mmsi left join dupv dv on dv.mmsi=a.mmsi)").replace(
+    "f5, f6, greatest", "f5, f6, f7, greatest").replace("(f2+f3+f4)*0.35e0", "(f2+f3+f4+f7)*0.35e0").replace("f4+f2>0 then", "f4+f2+f7>0 then").replace("when f2+f3+f4>0", "when f2+f3+f4+f7>0")
+CODES = """concat_ws(',', case when sparse=1 then 'SPARSE_TRACK' end, case when f1=1 then 'SOG_DISAGREEMENT' end, case when f2=1 then 'POSITION_TELEPORT' end, case when f3=1 then 'IMPOSSIBLE_ACCELERATION' end,
+   case when f4=1 then 'MID_FLAG_MISMATCH' end, case when f5=1 then 'UNKNOWN_MID' end, case when f6>0 then 'AIS_GAP' end, case when f7=1 then 'DUPLICATE_MMSI' end)"""
+TRUST_EVIDENCE = p.CHECKS + "," + _MIDCHK + "," + TRUST_DUP
 _TRUST = "with " + p.CHECKS + "," + _MIDCHK + "," + TRUST_TAIL
 _NIGHT = """
 nd as (select mmsi, t_us, row_number() over (partition by mmsi order by t_us, event_id)-1 v, count(*) over (partition by mmsi) n from {ais}),
@@ -32,7 +42,7 @@ fl as (select mmsi, 'SPEED_REDUCTION' code, 1.2e0 f from slow union all select m
 bp as (select v.mmsi, coalesce(product(f),1.0e0) bprior, coalesce(string_agg(code, ',' order by code),'') codes from (select distinct mmsi from {ais}) v left join fl on fl.mmsi=v.mmsi group by v.mmsi)"""
 BEHAVIOUR_HEAD = p.NORMS.strip() + "," + p.SLOW + "," + p.COURSE + "," + p.LOITER + "," + _NIGHT + "," + p.CHECKS
 _BEHAVIOUR = "with recursive " + BEHAVIOUR_HEAD + "," + BEHAVIOUR_TAIL
-ALL_PRIORS = BEHAVIOUR_HEAD + "," + _MIDCHK + "," + TRUST_TAIL + "," + BEHAVIOUR_TAIL
+ALL_PRIORS = BEHAVIOUR_HEAD + "," + _MIDCHK + "," + TRUST_DUP + "," + BEHAVIOUR_TAIL
 TYPE_SQL = _TYPE
 
 ORACLES: dict[str, str] = {

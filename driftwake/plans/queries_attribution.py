@@ -35,7 +35,7 @@ def best(s: SparkSession, d: str) -> DataFrame:
 def priors(s: SparkSession, d: str) -> DataFrame:
     """Trust, behaviour and declared type per vessel. The gap vessels come from the same trust table."""
     ais = table(s, d, "ais")
-    scores = checkpoint(trust.trust_scores(ais).select("mmsi", "trust_prior", F.array_contains("codes", "AIS_GAP").alias("has_gap")))
+    scores = checkpoint(trust.trust_scores(ais, trust.duplicate_positions(table(s, d, "ais_raw"))).select("mmsi", "trust_prior", F.array_contains("codes", "AIS_GAP").alias("has_gap")))
     moves = behaviour.behaviour_priors(ais, scores.filter("has_gap").select("mmsi")).select("mmsi", "behaviour_prior")
     types = tracks.static_by_vessel(ais.withColumn("vessel_type", vessel.vessel_type_label(F.col("type_code"))), "vessel_type")
     return scores.drop("has_gap").join(moves, "mmsi").join(types, "mmsi")
