@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftwake.llm import equal_texts, prefix_trie, queries, spellings
+from driftwake.llm import chip_search, equal_texts, prefix_trie, queries, spellings
 from tests.harness import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -225,6 +225,45 @@ def test_copies_of_an_empty_table_and_string_keys(spark):
     assert spellings.spelling_forms(spark.createDataFrame([], "vessel_name string, n_reports long")).collect() == []
 
 
+def nearest_by_hand(rows, ask, k):
+    v = {i: [int(np.floor(64 * c)) for c in x] for i, x in rows}
+    return {(q, r + 1, j, max(-2**63, min(2**63 - 1, -s))) for q in ask for r, (s, j) in enumerate(sorted((-sum(a * b for a, b in zip(v[q], v[j], strict=True)), j) for j in v if j != q and len(v[j]) == len(v[q]))[:k])}
+
+
+@pytest.mark.parametrize("scale", [1.0, 3e7, 1e15, 1e200])
+def test_chips_of_any_finite_size_are_ranked_exactly(spark, scale):
+    rng = np.random.default_rng(9)
+    rows = [(i, (scale * x).tolist()) for i, x in enumerate(rng.normal(size=(120, 3)))] + [(200, [scale, 1.0, 0.0]), (201, [scale, 1.0 + 1 / 64, 0.0]), (202, [1.0, 2.0])]
+    d = spark.createDataFrame([*rows, (300, [float("inf"), 1.0, 1.0]), (301, [])], "chip_id long, vector array<double>").selectExpr("*", "1 dim", "2 block", "3 id")
+    got = {tuple(r) for r in chip_search.nearest_chips(d, d.filter("chip_id % 20 = 0"), k=6).collect()}
+    assert got == nearest_by_hand(rows, [i for i, _ in rows if i % 20 == 0], 6)
+
+
+def test_chips_in_many_blocks_with_clusters_and_copies(spark, monkeypatch):
+    for name, value in (("LEAF", 4), ("DATA_BLOCK", 60), ("QUERY_BLOCK", 7)):
+        monkeypatch.setattr(chip_search, name, value)
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(6, 5)) * 20
+    rows = [(f"chip-{i:03}", (centres[i % 6] + (0 if i % 4 == 0 else rng.normal(size=5))).tolist()) for i in range(360)]
+    d = spark.createDataFrame(rows, "chip_id string, vector array<double>")
+    ask = [k for k, _ in rows[::10]]
+    got = {tuple(r) for r in chip_search.nearest_chips(d, d.filter(F.col("chip_id").isin(ask)), k=9).collect()}
+    assert got == nearest_by_hand(rows, ask, 9)
+    assert chip_search.nearest_chips(d.limit(0), d.limit(0)).count() == 0
+
+
+def test_cover_tree_halves_its_radius():
+    rng = np.random.default_rng(11)
+    x = np.concatenate([c + rng.normal(size=(200, 3)) * 0.01 for c in rng.normal(size=(8, 3)) * 30])
+    t = chip_search.CoverTree(x)
+    assert t.children[0] and sorted(t.order.tolist()) == list(range(len(x)))
+    for u, kids in enumerate(t.children):
+        rows = t.order[t.lo[u]:t.hi[u]]
+        assert np.sqrt(((x[rows] - x[t.centre[u]]) ** 2).sum(1)).max() <= t.radius[u] + 1e-9 and t.centre[u] in rows
+        assert all(t.radius[c] <= t.radius[u] / 2 + 1e-9 for c in kids)
+        assert not kids or [t.lo[u], *[t.hi[c] for c in kids]] == [*[t.lo[c] for c in kids], t.hi[u]]
+
+
 @pytest.mark.skipif(not Path(SF).is_dir(), reason="test tables not present")
 @pytest.mark.parametrize("name", ["op11_trie", "op12_spellings", "op13_exact_copies"])
 def test_query_equals_oracle(spark, name):
