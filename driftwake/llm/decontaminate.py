@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftwake.llm import tables
 from driftwake.llm.words import ALNUM, Words, batches_of_words, text_bytes, split_words
 
 WINDOW = 10
@@ -121,8 +122,7 @@ def exercise_overlap(bulletins: DataFrame, exercises: DataFrame, text: str = "me
     Columns of the result's names are replaced. A shard is a run of whole texts inside a task, so no text leaves its
     task. Tests beyond one broadcast's size are searched block by block, from the same broadcast list of blocks.
     """
-    sc = bulletins.sparkSession.sparkContext
-    shared = [sc.broadcast(b) for b in _loaded(exercises, item, item_text, window)]
+    shared = [tables.Shared(bulletins, b) for b in _loaded(exercises, item, item_text, window)]
     new = ["n_words", "n_hit", "longest", "item_ids"]
     d = bulletins.drop(*new)
     schema = T.StructType([*d.schema.fields, *[f for f in MATCH.fields if f.name != "hits"]])

@@ -13,11 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwake.llm import tables
+
 BLOCKS = set("address article aside blockquote body br dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li "
              "main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul video".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "head", "button", "select", "option")
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+# A quote opens an attribute's value only after "="; a tag that never ends takes the rest of the page. No part of the pattern is tried twice.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)(?:>|\Z)|<[!?][^>]*>", re.S)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 CHROME = {"nav": ("nav", "menu", "breadcrumb", "toolbar", "pagination", "pager"), "ad": ("ad", "ads", "advert", "advertisement", "banner", "sponsor", "sponsored", "promo"),
           "side": ("sidebar", "aside", "related", "widget", "share", "social", "complementary"), "note": ("cookie", "consent", "notice", "newsletter", "subscribe", "popup", "modal", "alert"),
@@ -172,7 +175,7 @@ def main_text(pages: DataFrame, tagger: PageTagger | None = None, html: str = "h
     Null, empty and unparsable html give the empty text; the whole page is read, nothing is dropped for length. Other
     columns pass through, those of the result's names are replaced; repeated rows repeat the answer.
     """
-    shared = pages.sparkSession.sparkContext.broadcast(tagger or train_tagger())
+    shared = tables.Shared(pages, tagger or train_tagger())
 
     @F.pandas_udf("string")
     def extract(col: pd.Series) -> pd.Series:

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwake.llm import tables
 from driftwake.llm.words import EXACT, batches_of_words, text_bytes
 
 FEATURES, GAMMA, RIDGE, SEED = 192, 0.15, 1e-2, 20
@@ -142,7 +143,7 @@ def score_bulletins(bulletins: DataFrame, model: QualityModel, text: str = "mess
 
     Rows are scored where they lie; columns of the result's names are replaced; an empty table stays empty.
     """
-    shared = bulletins.sparkSession.sparkContext.broadcast(model)
+    shared = tables.Shared(bulletins, model)
     d = bulletins.drop("score")
 
     def run(batches):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,23 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str, width: int) -> Da
     return big.join(F.broadcast(small) if fits else small, on, how)
 
 
+class Shared:
+    """A broadcast of any object of this package. Spark pickles broadcasts by reference, so workers without the package could not
+    read one; the bytes are made by value here and opened once in each worker process."""
+
+    def __init__(self, df: DataFrame, value):
+        self.sent, self._value = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"sent": self.sent, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = pickle.loads(self.sent.value)
+        return self._value
+
+
 def by_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, flush: int = 4 << 20) -> DataFrame:
     """mapInArrow over row dictionaries: ``f`` yields (columns, bytes) pieces, put out in batches of bounded size."""
     kinds = [(c.name, c.dataType) for c in _parsed(df, schema)]

@@ -1,6 +1,9 @@
 """Prefix trie, spelling variants and exact copies against brute force; nulls, ties, repeats, empty tables, clashing columns."""
 
 import hashlib
+import os
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -9,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftwake.llm import chip_search, equal_texts, prefix_trie, queries, spellings
+from driftwake.llm import chip_search, equal_texts, page_text, prefix_trie, queries, spellings
 from tests.harness import compare, duck
 
 SF = "/root/testdata/sf0.001"
@@ -252,6 +255,16 @@ def test_chips_in_many_blocks_with_clusters_and_copies(spark, monkeypatch):
     assert chip_search.nearest_chips(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_stray_quotes_and_broken_tags():
+    blocks = lambda html: [t for t, _ in page_text.leaf_blocks(html)]
+    assert blocks("<p title=it's>First words</p><p>Second paragraph isn't lost</p>") == ["First words", "Second paragraph isn't lost"]
+    assert blocks("<p data-x=\"a > b\" 'y>one</p><p>two</p><a href='x") == ["one", "two"]
+    import time
+    began = time.process_time()
+    page_text.leaf_blocks("<a \"" * 40_000 + "<p>x")
+    assert time.process_time() - began < 5
+
+
 def test_cover_tree_halves_its_radius():
     rng = np.random.default_rng(11)
     x = np.concatenate([c + rng.normal(size=(200, 3)) * 0.01 for c in rng.normal(size=(8, 3)) * 30])
@@ -268,3 +281,22 @@ def test_cover_tree_halves_its_radius():
 @pytest.mark.parametrize("name", ["op11_trie", "op12_spellings", "op13_exact_copies"])
 def test_query_equals_oracle(spark, name):
     assert compare(queries.QUERIES[name](spark, SF), duck(SF), queries.ORACLES[name]) is None
+
+
+@pytest.mark.skipif(not Path(SF).is_dir(), reason="test tables not present")
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Kernels and what they share travel by value: a driver outside the repository, workers that cannot import it."""
+    root = Path(__file__).resolve().parents[2]
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from driftwake.llm import queries
+from driftwake.session import local_session
+spark = local_session(4)
+for name in ("op2_extract", "op4_top_k", "op5_quality", "op6_decontaminate", "op11_trie", "op12_spellings", "op13_exact_copies"):
+    assert queries.QUERIES[name](spark, {SF!r}).count() > 0, name
+print("done")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=400)
+    assert run.stdout.strip().endswith("done"), run.stderr[-2000:]
