@@ -99,6 +99,9 @@ from (select cast(floor(vec_id/64) as bigint) scene_id, vec_id%64 row_id, cast(p
     "sigma0": """
 select l_suppkey scene_id, l_partkey%400 cell, round(l_quantity/4.0e0,2) wind_ms, round(-25.0e0+60.0e0*l_discount+20.0e0*l_tax,3) v,
   l_orderkey, cast(l_linenumber as bigint) line from {lineitem}""",
+    # the same samples with the positions they were taken at
+    "sigma0_at": """
+select scene_id, wind_ms, v, round(14.0e0+0.013e0*(cell%20)+0.0007e0*(l_orderkey%17),6) lat, round(69.0e0+0.017e0*floor(cell/20.0e0)+0.0009e0*(l_orderkey%13),6) lon, l_orderkey, line from {sigma0}""",
     "chips": """
 select l.doc_id chip_id, d.lang sensor, cast(l.quality as bigint) target, round(((l.doc_id*37+l.quality*45)%100)/100.0e0,2) prob_a,
   round(((l.doc_id*53+l.quality*55)%100)/100.0e0,2) prob_b, case when d.n_chars%11=0 then 0.0e0 else round((d.n_chars%997)/1000.0e0,4) end oil_fraction

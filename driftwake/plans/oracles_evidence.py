@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from driftwake.functions import hexgrid
 from driftwake.plans import oracle_parts as p
 from driftwake.plans import oracles_quality as oq
 from driftwake.plans import oracles_vessel as ov
@@ -26,7 +27,28 @@ _SURFACE = "sf as (select cast(p_size as double) a, p_partkey%6+1.0e0 c, avg(cas
 _OF = lambda rq: (_SURFACE + oq._ASSESS.removeprefix(oq._CELLS)).replace("least(area_km2,2.5e0)", "least(area_km2,(select max(a) from cells))").replace("{requests}", rq)
 _KINDS = "rq as (select request_id*10+k request_id, a area_km2, contrast_db, cloud_fraction, daylight_fraction, persistence_hours from {requests} cross join (values (0,15.0e0),(1,7.0e0),(2,1.0e0)) v(k,a))"
 
+
+
+def _hex(src: str, keep: str, level: int, name: str, out: str) -> str:
+    """CTEs that add the hexagonal index of (lat, lon) to a source."""
+    e, r3 = repr(hexgrid.edge_km(level)) + "e0", repr(hexgrid.ROOT3) + "e0"
+    size = f"(1100.0e0/pow(7.0e0,{level}/2.0e0))" if level % 2 else e
+    return f"""
+{name}a as (select {keep}, radians(mod(lon+180.0e0,360.0e0)-180.0e0)*6371.0088e0 x, sin(radians(lat))*6371.0088e0 y from {src}),
+{name}b as (select *, (x*({r3}/3.0e0)-y/3.0e0)/{size} q, y*(2.0e0/3.0e0)/{size} r from {name}a),
+{name}c as (select *, floor(q+0.5e0) rq, floor(r+0.5e0) rr, floor(-q-r+0.5e0) rs from {name}b),
+{name} as (select {keep}, {level}::bigint*72057594037927936+cast(case when abs(rq-q)>abs(rr-r) and abs(rq-q)>abs(rs+q+r) then -rr-rs else rq end+134217728 as bigint)*268435456
+  +cast(case when abs(rr-r)>=abs(rq-q) and abs(rr-r)>abs(rs+q+r) then -rq-rs else rr end+134217728 as bigint) {out} from {name}c)"""
+
+
+_UP = f"""
+ct as (select cell, n, ((cell>>28)&268435455)-134217728 q, (cell&268435455)-134217728 r from (select cell, count(*) n from hx group by cell) g),
+cc as (select cell, n, degrees(asin(r*1.5e0*(1100.0e0/pow(7.0e0,3.5e0))/6371.0088e0)) lat, degrees((q+r/2.0e0)*{hexgrid.ROOT3!r}e0*(1100.0e0/pow(7.0e0,3.5e0))/6371.0088e0) lon from ct)"""
+
 ORACLES: dict[str, str] = {
+    "hex_index": "with " + _hex("{ais}", "event_id", 7, "hx", "cell") + " select event_id, cell from hx",
+    "hex_parents": "with " + _hex("{ais}", "event_id", 7, "hx", "cell") + "," + _UP + "," + _hex("cc", "n", 6, "hp", "parent") + " select parent, count(*) cells, cast(sum(n) as bigint) reports from hp group by parent",
+    "hex_baseline": "with " + _hex("{sigma0_at}", "scene_id, wind_ms, v", 7, "hx", "cell") + f" select cell, {oq._BIN} wind_bin, count(*) n, count(distinct scene_id) scenes, round(sum(v)/count(*),6) mean, round(sqrt(greatest(sum(v*v)/count(*)-pow(sum(v)/count(*),2),1e-9)),5) std from hx group by all",
     "scene_match": "with " + _MATCH + " select scene_id, target_id, mmsi, round(km,4) km, classification from ml",
     "scene_positions": "with " + _AT + " select scene_id, mmsi, round(lat,6) lat, round(lon,6) lon from fq where inside",
     "radar_evidence": "with " + _MATCH + " select * from rv",

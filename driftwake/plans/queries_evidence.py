@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwake.operators import detectability, evaluation, matching, tracks, trust
+from driftwake.functions import hexgrid
+from driftwake.operators import baseline, detectability, evaluation, matching, tracks, trust
 from driftwake.plans import queries_quality as qq
 from driftwake.plans.fixtures import table
 from driftwake.plans.queries_vessel import joined, rounded
@@ -32,7 +33,25 @@ def _cells(s: SparkSession, d: str):
     return detectability.measured_cells(checkpoint(evaluation.detection_rate_surface(qq._trials(s, d))))
 
 
+LEVEL = 7
+
+
+def _sea_cells(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "sigma0_at").withColumn("cell", hexgrid.hex_cell(F.col("lat"), F.col("lon"), LEVEL))
+
+
+def _cell_roll_up(s: SparkSession, d: str) -> DataFrame:
+    """Reports per cell and per parent: fine cells are counted first, so the coarse count reads one row a cell."""
+    c = hexgrid.hex_cell(F.col("lat"), F.col("lon"), LEVEL)
+    fine = table(s, d, "ais").groupBy(c.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    parent = hexgrid.hex_parent(F.col("cell"), LEVEL)
+    return fine.groupBy(parent.alias("parent")).agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("reports"))
+
+
 QUERIES = {
+    "hex_index": lambda s, d: table(s, d, "ais").select("event_id", hexgrid.hex_cell(F.col("lat"), F.col("lon"), LEVEL).alias("cell")),
+    "hex_parents": _cell_roll_up,
+    "hex_baseline": lambda s, d: rounded(baseline.statistics(baseline.fold(None, baseline.scene_partials(_sea_cells(s, d)))).select("cell", "wind_bin", "n", "scenes", "mean", "std"), std=5),
     "scene_match": lambda s, d: rounded(_matches(s, d), 4),
     "scene_positions": lambda s, d: rounded(matching.footprint_positions(table(s, d, "scenes"), table(s, d, "ais")).drop("inside")),
     "radar_evidence": lambda s, d: matching.radar_evidence(_matches(s, d)),
