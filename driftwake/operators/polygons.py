@@ -67,15 +67,17 @@ def polygon_metrics(rings: DataFrame, ring: str = "ring") -> DataFrame:
 
 
 def cell_cover(rings: DataFrame, res: float, ring: str = "ring") -> DataFrame:
-    """Grid cells whose centre lies inside each ring, as rows (cx, cy). One polygon's list is bounded by its box."""
+    """Grid cells whose centre lies inside each ring, as rows (cx, cy). One polygon's list is bounded by its box.
+
+    A ring too small or thin to hold any centre is covered by the cell of its centroid, so no ring is lost.
+    """
     keep = [c for c in rings.columns if c != ring]
-    b = rings.select(*keep, geo.ring_bounds(F.col(ring)).alias("_b"), geo.ring_edges(F.col(ring)).alias("_e"))
-    b = b.withColumn("cx", F.explode(F.sequence(F.floor(F.col("_b.x0") / res), F.floor(F.col("_b.x1") / res))))
-    b = b.withColumn("cy", F.explode(F.sequence(F.floor(F.col("_b.y0") / res), F.floor(F.col("_b.y1") / res))))
-    x, y = (F.col("cx") + 0.5) * res, (F.col("cy") + 0.5) * res
-    inside = (x.between(F.col("_b.x0"), F.col("_b.x1")) & y.between(F.col("_b.y0"), F.col("_b.y1"))
-              & geo.point_in_edges(F.col("_e"), x, y))
-    return b.filter(inside).select(*keep, "cx", "cy")
+    b = rings.select(*keep, geo.ring_bounds(F.col(ring)).alias("_b"), geo.ring_edges(F.col(ring)).alias("_e"), geo.ring_centroid(F.col(ring)).alias("_c"))
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / res), F.floor(F.col(hi) / res))
+    cells = F.flatten(F.transform(span("_b.x0", "_b.x1"), lambda cx: F.transform(span("_b.y0", "_b.y1"), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+    b = b.withColumn("_in", F.filter(cells, lambda c: geo.point_in_edges(F.col("_e"), (c.cx + 0.5) * res, (c.cy + 0.5) * res)))
+    own = F.struct(F.floor(F.coalesce("_c.x", "_b.x0") / res).alias("cx"), F.floor(F.coalesce("_c.y", "_b.y0") / res).alias("cy"))
+    return b.select(*keep, F.explode(F.when(F.size("_in") > 0, F.col("_in")).otherwise(F.array(own))).alias("_p")).select(*keep, "_p.cx", "_p.cy")
 
 
 def cell_area_km2(cy: Column, res: float) -> Column:

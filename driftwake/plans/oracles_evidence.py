@@ -45,7 +45,18 @@ _UP = f"""
 ct as (select cell, n, ((cell>>28)&268435455)-134217728 q, (cell&268435455)-134217728 r from (select cell, count(*) n from hx group by cell) g),
 cc as (select cell, n, degrees(asin(r*1.5e0*(1100.0e0/pow(7.0e0,3.5e0))/6371.0088e0)) lat, degrees((q+r/2.0e0)*{hexgrid.ROOT3!r}e0*(1100.0e0/pow(7.0e0,3.5e0))/6371.0088e0) lon from ct)"""
 
+# truths of a scene one by one, each with the list of detections taken so far
+_GREEDY = _AT + """,
+tp as (select scene_id, mmsi truth_id, (y1-lat)*500.0e0 r, (lon-x0)*500.0e0 c from fq where inside),
+dt as (select scene_id, target_id det_id, (y1-lat)*500.0e0 r, (lon-x0)*500.0e0 c from {scene_targets} join {scenes} using (scene_id)),
+cd as (select tp.scene_id, truth_id, dt.det_id, sqrt((tp.r-dt.r)*(tp.r-dt.r)+(tp.c-dt.c)*(tp.c-dt.c)) px from tp join dt on dt.scene_id=tp.scene_id where abs(tp.r-dt.r)<=30.0e0 and abs(tp.c-dt.c)<=30.0e0),
+cl as (select scene_id, truth_id, row_number() over (partition by scene_id order by truth_id) n, list(struct_pack(px := px, det_id := det_id) order by px, det_id) opts from cd where px<=30.0e0 group by scene_id, truth_id),
+gr as (select scene_id, truth_id, n, opts[1] got, [opts[1].det_id] used from cl where n=1
+  union all select scene_id, truth_id, n, got, case when got is null then used else list_append(used, got.det_id) end from (
+    select cl.scene_id, cl.truth_id, cl.n, used, list_filter(cl.opts, lambda o: not list_contains(gr.used, o.det_id))[1] got from gr join cl on cl.scene_id=gr.scene_id and cl.n=gr.n+1) q)"""
+
 ORACLES: dict[str, str] = {
+    "reference_match": "with recursive " + _GREEDY.strip() + " select scene_id, truth_id, got.det_id det_id, round(got.px,4) px from gr where got is not null",
     "hex_index": "with " + _hex("{ais}", "event_id", 7, "hx", "cell") + " select event_id, cell from hx",
     "hex_parents": "with " + _hex("{ais}", "event_id", 7, "hx", "cell") + "," + _UP + "," + _hex("cc", "n", 6, "hp", "parent") + " select parent, count(*) cells, cast(sum(n) as bigint) reports from hp group by parent",
     "hex_baseline": "with " + _hex("{sigma0_at}", "scene_id, wind_ms, v", 7, "hx", "cell") + f" select cell, {oq._BIN} wind_bin, count(*) n, count(distinct scene_id) scenes, round(sum(v)/count(*),6) mean, round(sqrt(greatest(sum(v*v)/count(*)-pow(sum(v)/count(*),2),1e-9)),5) std from hx group by all",

@@ -33,6 +33,15 @@ def _cells(s: SparkSession, d: str):
     return detectability.measured_cells(checkpoint(evaluation.detection_rate_surface(qq._trials(s, d))))
 
 
+def _reference_match(s: SparkSession, d: str) -> DataFrame:
+    """Scene pixels of 0.002 degrees: detections are the targets, truths the vessels' positions in the footprints."""
+    scenes = table(s, d, "scenes")
+    det = table(s, d, "scene_targets").join(scenes, "scene_id").select("scene_id", F.col("target_id").alias("det_id"), ((F.col("y1") - F.col("lat")) * 500.0).alias("row"), ((F.col("lon") - F.col("x0")) * 500.0).alias("col"))
+    truth = matching.footprint_positions(scenes, table(s, d, "ais")).join(scenes, "scene_id").select(
+        "scene_id", F.col("mmsi").alias("truth_id"), ((F.col("y1") - F.col("lat")) * 500.0).alias("row"), ((F.col("lon") - F.col("x0")) * 500.0).alias("col"))
+    return matching.greedy_reference_match(det, truth, 30.0)
+
+
 LEVEL = 7
 
 
@@ -55,6 +64,7 @@ QUERIES = {
     "scene_match": lambda s, d: rounded(_matches(s, d), 4),
     "scene_positions": lambda s, d: rounded(matching.footprint_positions(table(s, d, "scenes"), table(s, d, "ais")).drop("inside")),
     "radar_evidence": lambda s, d: matching.radar_evidence(_matches(s, d)),
+    "reference_match": lambda s, d: rounded(_reference_match(s, d), 4),
     "strongest_targets": lambda s, d: matching.strongest_targets(table(s, d, "scene_targets")),
     "trust_evidence": lambda s, d: rounded(_trust(s, d)).select("mmsi", "n_fixes", "score", "classification", "trust_prior", joined()),
     "identity_mismatches": lambda s, d: rounded(trust.identity_mismatches(_trust(s, d))).select("mmsi", "score", "trust_prior", joined()),

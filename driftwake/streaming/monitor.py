@@ -7,7 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from driftwake.functions.vessel import monitor_result
 from driftwake.operators import baseline
@@ -109,6 +109,42 @@ def watch_products(spark: SparkSession, folder: str, schema: str, store: str, ch
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def record_idle(spark: SparkSession, store: str) -> None:
+    """Append a status row of a check that found nothing."""
+    zero, now = F.lit(0).cast("bigint"), F.current_timestamp()
+    row = spark.range(1).select(F.lit(-1).alias("batch_id"), now.alias("last_check_at"), F.lit(None).cast("timestamp").alias("last_new_data_at"),
+                                zero.alias("processed"), zero.alias("failed"), zero.alias("new_observations"), monitor_result(zero, zero).alias("last_result"))
+    row.write.mode("append").parquet(f"{store}/status")
+
+
+def check_products(spark: SparkSession, folder: str, schema: str, store: str, checkpoint: str, process: Callable[[DataFrame], DataFrame]) -> None:
+    """One check of the product folder, recorded in the status table whether or not anything was new."""
+    query = watch_products(spark, folder, schema, store, checkpoint, process)
+    query.awaitTermination()
+    if not any(p["numInputRows"] for p in query.recentProgress):
+        record_idle(spark, store)
+
+
+class IdleStatus(StreamingQueryListener):
+    """For a watch that runs on: each time the stream ``query_id`` finds nothing to do, the check is recorded all the same."""
+
+    def __init__(self, spark: SparkSession, store: str, query_id: str) -> None:
+        self.spark, self.store, self.query_id = spark, store, query_id
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        if str(event.id) == self.query_id:
+            record_idle(self.spark, self.store)
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table that may not have been written yet."""
     jvm = spark.sparkContext._jvm
@@ -122,7 +158,7 @@ def status(store: DataFrame) -> DataFrame:
     """Latest service state: last check, last new data and running totals."""
     return store.agg(F.count(F.lit(1)).alias("checks"), F.max("last_check_at").alias("last_check_at"),
                      F.max("last_new_data_at").alias("last_new_data_at"), F.sum("processed").alias("processed"),
-                     F.sum("failed").alias("failed"), F.max_by("last_result", "batch_id").alias("last_result"))
+                     F.sum("failed").alias("failed"), F.max_by("last_result", "last_check_at").alias("last_result"))
 
 
 def fold_scenes(spark: SparkSession, folder: str, schema: str, store: str, checkpoint: str):

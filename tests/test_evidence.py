@@ -67,3 +67,47 @@ def test_measured_surface_sets_the_rate(spark):
     assert detectability.assess(req, cells).filter(F.col("sensor") == "EOS-04").first().measured_rate == pytest.approx(0.9)
     classes = {r.size_class: r for r in detectability.compare_size_classes(req, cells).collect()}
     assert set(classes) == {"large", "medium", "small"} and classes["large"].first_sensor == "INSAT-3DS"
+
+
+def test_offers_in_rounds_equal_one_by_one(spark):
+    import math
+    import random
+
+    rng = random.Random(6)
+    det = [(s, i, rng.uniform(0, 40), rng.uniform(0, 40)) for s in range(3) for i in range(40)]
+    truth = [(s, i, rng.uniform(0, 40), rng.uniform(0, 40)) for s in range(3) for i in range(50)]
+    want, used = set(), set()
+    for s, t, r, c in sorted(truth):
+        near = min(((math.hypot(r - y, c - x), i) for z, i, y, x in det if z == s and (s, i) not in used), default=(99.0, 0))
+        if near[0] <= 6.0:
+            used.add((s, near[1]))
+            want.add((s, t, near[1]))
+    schema = "scene_id long, {} long, row double, col double"
+    got = matching.greedy_reference_match(spark.createDataFrame(det, schema.format("det_id")), spark.createDataFrame(truth, schema.format("truth_id")))
+    assert {(r.scene_id, r.truth_id, r.det_id) for r in got.collect()} == want
+
+
+def test_small_slicks_keep_a_cell(spark):
+    from driftwake.operators import polygons
+
+    ring = [(70.0001, 15.0001), (70.0011, 15.0001), (70.0011, 15.0011)]
+    d = spark.createDataFrame([(1, ring), (2, [(0.0, 0.0), (0.1, 0.0), (0.1, 0.1), (0.0, 0.1)])], "slick_id long, ring array<struct<x:double,y:double>>")
+    got = polygons.cell_cover(d, 0.02).groupBy("slick_id").count().collect()
+    assert {r.slick_id: r["count"] for r in got} == {1: 1, 2: 25}
+
+
+def test_hex_cells_are_even_and_nest(spark):
+    from driftwake.functions import hexgrid
+
+    d = spark.range(200_000).select((F.asin(F.rand(1) * 2 - 1) * 57.29577951308232).alias("lat"), (F.rand(2) * 360 - 180).alias("lon"))
+    n = d.groupBy(hexgrid.hex_cell(F.col("lat"), F.col("lon"), 1).alias("cell")).count()
+    inner = n.filter(F.abs(hexgrid.hex_centre(F.col("cell"), 1)[0]) < 40).agg(F.avg("count")).first()[0]
+    assert inner == pytest.approx(200_000 * hexgrid.cell_area_km2(1) / 510_065_000, rel=0.1)
+    cell = hexgrid.hex_cell(F.col("lat"), F.col("lon"), 8)
+    lat, lon = hexgrid.hex_centre(F.col("cell"), 8)
+    c = d.limit(5000).select("lat", "lon", cell.alias("cell")).withColumns({"la": lat, "lo": lon})
+    assert c.filter(hexgrid.hex_cell(F.col("la"), F.col("lo"), 8) != F.col("cell")).count() == 0
+    assert c.select(hexgrid.hex_level(F.col("cell"))).distinct().first()[0] == 8
+    up = c.select(hexgrid.hex_level(hexgrid.hex_parent(F.col("cell"), 8))).distinct().collect()
+    assert [r[0] for r in up] == [7]
+    assert c.filter(F.abs(F.sin(F.radians("lat")) - F.sin(F.radians("la"))) * 6371.0088 > hexgrid.edge_km(8) * 1.0001).count() == 0

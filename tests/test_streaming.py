@@ -98,3 +98,17 @@ def test_product_watch(spark, tmp_path):
     assert {r.observation_id for r in spark.read.parquet(str(tmp_path / "st/errors")).collect()} == {"o3"}
     s = monitor.status(spark.read.parquet(str(tmp_path / "st/status"))).first()
     assert s.processed == 4 and s.last_result == "PROCESSED NEW DATA"
+
+
+def test_a_check_without_new_products_is_recorded(spark, tmp_path):
+    schema, where = "observation_id string, kind string", [str(tmp_path / x) for x in ("in", "st", "ck")]
+    spark.createDataFrame([("o1", "ok")], schema).coalesce(1).write.json(where[0])
+
+    def check():
+        monitor.check_products(spark, where[0], schema, where[1], where[2], lambda df: df.withColumn("error", F.lit(None).cast("string")))
+        return monitor.status(spark.read.parquet(f"{where[1]}/status")).first()
+
+    first, second = check(), check()
+    assert (first.checks, first.processed, first.last_result) == (1, 1, "PROCESSED NEW DATA")
+    assert (second.checks, second.processed, second.last_result) == (2, 1, "NO NEW DATA")
+    assert second.last_check_at > first.last_check_at and second.last_new_data_at == first.last_new_data_at
