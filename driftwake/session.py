@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -50,6 +51,13 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the cluster drop the shuffle files of finished steps. Spark does so when the driver's objects for them are collected, which by
+    itself may come long after the last use."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition compute-heavy groups over all shuffle partitions. The rows are few but each costs
     seconds of work, so coalescing them by bytes would run them one after another."""
