@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 from driftwake.llm import tables
 from driftwake.llm.words import FOLDED, batches_of_words, grams, mix
-from driftwake.session import checkpoint
+from driftwake.session import checkpoint, release
 
 SHINGLE = 5
 GROUP = 32
 #: From how many bulletins on a token counts as frequent; a larger number is taken where the list would be too large to broadcast.
 FREQUENT = (24, 96, 384, 1536, 6144, 24576)
 U = np.uint64
+#: Hashes below which tokens are counted: what a link needs are the least quarter of a set's hashes.
+COUNTED = U(int(0.35 * 2**64))
 
 
 def shingles(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -93,6 +95,7 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
     no shingles and stand alone; rows with equal keys link by their texts only; null keys link, but never name a component
     that has another key.
     """
+    spark = bulletins.sparkSession
     d = bulletins.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
 
     def describe(k, s, seen):
@@ -135,6 +138,8 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
     sets = with_sets(chunked)
     linking = chunked.join(sets, "node").groupBy("f", "m", "chunk").agg(gathered).filter(F.size("group") > 1).select("group")
     edges = checkpoint(tables.by_arrow(linking, link, "a long, b long"))
+    del sets, linking
+    release(spark)
     first = tables.components(edges)
     sized = first.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
     parts = lambda c: F.pmod(F.xxhash64("node", F.lit(7)), F.ceil(c / GROUP)).cast("int")
@@ -146,9 +151,11 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
     named = F.when(F.col("c1") > 1, F.xxhash64(F.lit(1), "band", "m1")).when(F.col("c2") > 1, F.xxhash64(F.lit(2), "band", "m2")).otherwise(F.col("node"))
     loose = alike.select("node", "id", named.bitwiseAND(F.lit(-2)).alias("comp"), parts(F.coalesce("c1", "c2", F.lit(1))).alias("part"))
     member = checkpoint(nodes.join(linked, "node").select("node", "id", "comp", "part").union(loose))
+    del first, sized, linked, c1, c2, alike, loose
+    release(spark)
 
     # Frequent tokens go last in the order of tokens, so that few groups meet over them. Any order gives the same links;
-    # tokens of the upper half of the hashes hardly ever are among the least and are not counted.
+    # tokens above COUNTED hardly ever are among the least and are not counted.
     tallies = tables.buckets_for(tables.text_volume(bulletins, text), 16 << 20)
 
     def tally(batches):
@@ -160,7 +167,7 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
                     name = (len(m), int(m[0]) if len(m) else 0, int(m[-1]) if len(m) else 0)
                     if name not in seen:
                         seen.add(name)
-                        found.append(m[m < U(1 << 63)])
+                        found.append(m[m < COUNTED])
             u, c = np.unique(np.concatenate(found), return_counts=True)
             for k, at in tables.in_buckets(u, tallies):
                 yield (k, tables.raw(u[at]), tables.raw(c[at].astype(np.uint32))), 12 * len(at)
@@ -174,7 +181,9 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
     sizes = {r.least: r.n for r in often.groupBy("least").agg(F.sum(F.octet_length("t")).alias("n")).collect()}
     fit = next((f for f in FREQUENT if sizes.get(f, 0) <= tables.BROADCAST_LIMIT // 4), None)
     parts = [tables.array(r.t, U) for r in often.filter(F.col("least") == fit).select("t").toLocalIterator()] if fit and sizes else []
-    frequent = bulletins.sparkSession.sparkContext.broadcast(np.sort(np.concatenate(parts)) if parts else np.zeros(0, U))
+    frequent = spark.sparkContext.broadcast(np.sort(np.concatenate(parts)) if parts else np.zeros(0, U))
+    del often, sizes, parts
+    release(spark)
 
     def ordered(m: np.ndarray) -> np.ndarray:
         f = frequent.value
@@ -192,6 +201,8 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
 
     heads = _sets(d, prefix, "node long, n int, p binary").groupBy("node").agg(F.first("n").alias("n"), F.first("p").alias("p"))
     matrix_rows = checkpoint(heads.join(member, "node").select("comp", "part", "n", "p"))
+    del heads
+    release(spark)
     volume = matrix_rows.agg(F.sum(F.octet_length("p"))).first()[0] or 0
     n = tables.buckets_for(volume, 16 << 20)
 
@@ -244,8 +255,11 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
     open_pairs = checkpoint(counted.join(sa, ["ca", "pa"]).join(sb, ["cb", "pb"]).filter(fits).select(*lighter).union(own))
     both = open_pairs.select(F.col("ca").alias("comp"), F.col("pa").alias("part")).union(open_pairs.select(F.col("cb").alias("comp"), F.col("pb").alias("part"))).distinct()
     chosen = checkpoint(m2.join(both, ["comp", "part"]))
+    del dealt, counted, span, sa, sb, both
+    release(spark)
 
     blocks = checkpoint(chosen.join(with_sets(chosen), "node").groupBy("comp", "part").agg(gathered))
+    release(spark)
     ba, bb = (blocks.select(F.col("comp").alias(f"c{x}"), F.col("part").alias(f"p{x}"), F.col("group").alias(f"m{x}")) for x in "ab")
 
     def opened(batches):
@@ -256,7 +270,10 @@ def near_duplicates(bulletins: DataFrame, key: str = "incident_id", text: str =
 
     more = open_pairs.join(ba, ["ca", "pa"]).join(bb, ["cb", "pb"]).select("ma", "mb")
     more = tables.by_arrow(more, opened, "a long, b long")
-    final = tables.components(checkpoint(edges.union(more)))
+    found = checkpoint(edges.union(more))
+    del more, ba, bb, blocks
+    release(spark)
+    final = tables.components(found)
     rooted = nodes.select("node", "id").join(final, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
     named = checkpoint(rooted.join(least, "root").select("node", "component_id"))
