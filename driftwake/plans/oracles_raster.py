@@ -27,6 +27,10 @@ _DIA = "(values (0,0),(0,1),(0,-1),(1,0),(-1,0),(0,2),(0,-2),(2,0),(-2,0),(1,1),
 _REACH = """
 s as (select scene_id, row_id, col_id, row_id*16777216+col_id id from {pixels} where dn between 1 and 60 or dn>200),
 reach as (select scene_id, id root, row_id, col_id from s union select r.scene_id, r.root, q.row_id, q.col_id from reach r join s q on q.scene_id=r.scene_id and abs(q.row_id-r.row_id)<=1 and abs(q.col_id-r.col_id)<=1)"""
+# pixels that the darkness scorer puts at 0.5 or more, joined over their four sides, in place of the eight-sided mask
+_HOT8 = _REACH
+_HOT4 = _REACH.replace("dn between 1 and 60 or dn>200", "dn>0 and 1.0e0-2.0e0*(dn/255.0e0*30.0e0)/30.0e0>=0.5e0").replace(
+    "abs(q.row_id-r.row_id)<=1 and abs(q.col_id-r.col_id)<=1", "abs(q.row_id-r.row_id)+abs(q.col_id-r.col_id)<=1")
 _LAB = _REACH + ", lab as (select scene_id, row_id, col_id, min(root) label from reach group by scene_id, row_id, col_id)"
 _MOM = _LAB + """,
 mo as (select scene_id, label, count(*) area_px, avg(row_id) r, avg(col_id) c, coalesce(var_samp(row_id),0) vy, coalesce(var_samp(col_id),0) vx, coalesce(covar_samp(row_id,col_id),0) vxy from lab group by scene_id, label),
@@ -59,6 +63,7 @@ select scene_id, round(avg(sqrt(dv*dv+dh*dh)),6) edge_gradient, count(*) band_px
     "stitch": "with " + _STITCH + " select tp.scene_id, row_id, col_id, round(avg(db-m),6) residual, count(*) tiles from tp join tm on tm.scene_id=tp.scene_id and tm.ty=tp.ty and tm.tx=tp.tx group by tp.scene_id, row_id, col_id",
     "zonal_stats": "with " + _DB + "," + _ZONE + " select scene_id, zone_id, count(db) pixels, round(avg(db),6) mean_value, round(median(db),6) median_value from zi group by scene_id, zone_id",
     "components": "with recursive " + _LAB + " select scene_id, row_id, col_id, label from lab",
+    "tile_scoring": "with recursive " + _MOM.replace(_HOT8, _HOT4) + " select scene_id, label, area_px, round(r,6) \"row\", round(c,6) col, round(greatest(4*sqrt(l1),sqrt(area_px)),6) major_px, round(4*sqrt(l2),5) minor_px, round(case when sp>1e-12 then mod(degrees(atan2(vx-vy+2*sp,2*vxy))+180.0e0,180.0e0) else 0.0e0 end,5) bearing_deg from ml where area_px>=64",
     "component_shapes": "with recursive " + _MOM + " select scene_id, label, area_px, round(r,6) \"row\", round(c,6) col, round(greatest(4*sqrt(l1),sqrt(area_px)),6) major_px, round(4*sqrt(l2),5) minor_px, round(case when sp>1e-12 then mod(degrees(atan2(vx-vy+2*sp,2*vxy))+180.0e0,180.0e0) else 0.0e0 end,5) bearing_deg from ml where area_px>=5",
     "local_contrast": "with recursive " + _LAB + "," + _DB + """,
 rg as (select l.scene_id, label, count(*) area_px, avg(db) mean_db, min(l.row_id)-24 r0, max(l.row_id)+24 r1, min(l.col_id)-24 c0, max(l.col_id)+24 c1 from lab l join px using (scene_id,row_id,col_id) group by l.scene_id, label),

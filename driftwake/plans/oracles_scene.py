@@ -93,6 +93,17 @@ ce as (select i, min(x1) ox, min(y1) oy, (min(y1)+max(y1))/2 lat from ed group b
 ua as (select ed.i, sum((1-coalesce(c,0.0e0))*((x1-ox)*(y2-oy)-(x2-ox)*(y1-oy)))/2 area, any_value(lat) lat, count(distinct ed.h) n_rings from ed join ce using (i) left join cv using (i, h, k) group by ed.i),
 lk as (select i, count(distinct h) n from pb where j=h+1 and len(ts)>0 group by i)"""
 
+_AFFECTED = """
+bb as (select incident_id, hours_back, min(x1) x0, max(x1) x9, min(y1) y0, max(y1) y9 from {step_edges} group by all),
+ps as (select b.incident_id, b.hours_back, c.seg_id, c.x1 sx, c.y1 sy, c.x2-c.x1 dx, c.y2-c.y1 dy, """ + p.dist_m("c.y1", "c.x1", "c.y2", "c.x2") + """/1000.0e0 km
+  from bb b join {coast} c on least(c.x1,c.x2)<=x9 and greatest(c.x1,c.x2)>=x0 and least(c.y1,c.y2)<=y9 and greatest(c.y1,c.y2)>=y0),
+tc as (select ps.*, ((e.x1-sx)*(e.y2-e.y1)-(e.y1-sy)*(e.x2-e.x1))/nullif(dx*(e.y2-e.y1)-dy*(e.x2-e.x1),0) t, ((e.x1-sx)*dy-(e.y1-sy)*dx)/nullif(dx*(e.y2-e.y1)-dy*(e.x2-e.x1),0) u from ps join {step_edges} e using (incident_id, hours_back)),
+cu as (select incident_id, hours_back, seg_id, sx, sy, dx, dy, km, list_sort(list_concat([0.0e0,1.0e0], coalesce(list(t) filter (where t between 0 and 1 and u between 0 and 1), []))) cuts from tc group by all),
+iv as (select * exclude (cuts), cuts[k] a, cuts[k+1] b from (select *, unnest(range(1, len(cuts))) k from cu) q),
+mi as (select *, sx+dx*(a+b)/2 mx, sy+dy*(a+b)/2 my from iv where b>a),
+ins as (select incident_id, hours_back, seg_id, a, b, km, count(*) filter (where (e.y1>my)<>(e.y2>my) and mx<(e.x2-e.x1)*(my-e.y1)/(e.y2-e.y1)+e.x1)%2 odd from mi join {step_edges} e using (incident_id, hours_back) group by incident_id, hours_back, seg_id, a, b, km),
+af as (select incident_id, hours_back, sum((b-a)*km) km from ins where odd=1 group by incident_id, hours_back)"""
+
 ORACLES: dict[str, str] = {
     "polygon_metrics": "with " + _MET + """ select ct.slick_id, round(area/1.0e6,6) area_km2, round(perim/1000.0e0,6) perimeter_km, round(lat,6) centroid_lat, round(lon,6) centroid_lon, round(greatest(w,h),3) major_axis_m, round(least(w,h),3) minor_axis_m,
  round(mod(90.0e0-degrees(case when w>=h then th else th+pi()/2 end)+720.0e0,180.0e0),4) major_axis_deg, round(sqrt(greatest(0,1-pow(least(w,h)/greatest(w,h),2))),6) eccentricity, round(perim/(2*sqrt(pi()*area)),6) shape_complexity
@@ -120,6 +131,12 @@ ORACLES: dict[str, str] = {
     "land_share": "with " + _LAND + ", g as (select incident_id, unnest(range(cast(floor((cx-0.5e0)/0.02e0) as bigint), cast(floor((cx+0.5e0)/0.02e0) as bigint)+1)) gx, cy from {incidents}), h as (select incident_id, gx, unnest(range(cast(floor((cy-0.5e0)/0.02e0) as bigint), cast(floor((cy+0.5e0)/0.02e0) as bigint)+1)) gy from g) select incident_id, round(avg(case when l.cx is not null then 1.0e0 else 0.0e0 end),6) land_fraction from h left join land l on l.cx=gx and l.cy=gy group by incident_id",
     "coast_distance": "with " + _COAST + " select incident_id, hours_back, round(case when km<=800 then km end,5) distance_km, km<=800 and hit as intersects, km<=800 covered from dd",
     "coast_distance_all": "with " + _COAST + " select incident_id, hours_back, round(case when km<=800 then km end,5) distance_km, km<=800 and hit as intersects, km<=800 covered from dd",
+    "affected_shore": "with " + _AFFECTED + " select incident_id, hours_back, round(coalesce(km,0.0e0),4) affected_km from bb left join af using (incident_id, hours_back)",
+    "alert_messages": "with " + _ETA + f""", al as (select *, {_SEV} severity, {_REASONS} reasons, 8.0e0+(incident_id%130)/10.0e0 lat, 66.0e0+(incident_id%97)/8.0e0 lon, 1704067200000000+incident_id*60000000 acq_us from tr)
+select incident_id, concat('ALERT-', incident_id, '-', strftime(make_timestamp(acq_us), '%Y%m%dT%H%MZ')) alert_id, severity,
+ concat('PRIORITY ', severity, ' // SUSPECTED OPERATIONAL DISCHARGE', chr(10), 'POSITION ', printf('%02d°%05.2f''%s', cast(floor(abs(lat)) as bigint), (abs(lat)-floor(abs(lat)))*60, case when lat>=0 then 'N' else 'S' end), ' ',
+  printf('%02d°%05.2f''%s', cast(floor(abs(lon)) as bigint), (abs(lon)-floor(abs(lon)))*60, case when lon>=0 then 'E' else 'W' end), chr(10), printf('AREA %.1f km2', area_km2), chr(10),
+  case when shore_contact then printf('SHORELINE CONTACT FORECAST in %.0f h', eta_hours) else 'No shoreline contact within 72 h.' end, chr(10), reasons) message from al""",
     "shore_eta": "with " + _ETA + " select incident_id, round(area_km2,6) area_km2, closest_km, shore_contact, round(eta_hours,6) eta_hours from im",
     "tier": "with " + _ETA + f" select incident_id, cast(tier as bigint) tier, {_SEV} severity, {_REASONS} reasons from tr",
     "recipients": "with " + _RECIP + " select incident_id, cast(tier as bigint) tier, slot, station_id, role, distance_km, bearing_deg, action from rcp",

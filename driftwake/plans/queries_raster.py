@@ -64,5 +64,5 @@ QUERIES = {
     "components": _labelled,
     "component_shapes": lambda s, d: rounded(components.shapes(components.drop_specks(_labelled(s, d), 5)), minor_px=5, bearing_deg=5).drop("eccentricity"),
     "local_contrast": lambda s, d: rounded(raster.local_contrast(_labelled(s, d), raster.calibrated(_px(s, d)))),
-    "tile_scoring": _scored,
+    "tile_scoring": lambda s, d: rounded(_scored(s, d), minor_px=5, bearing_deg=5).drop("eccentricity"),
 }
