@@ -55,7 +55,18 @@ gr as (select scene_id, truth_id, n, opts[1] got, [opts[1].det_id] used from cl
   union all select scene_id, truth_id, n, got, case when got is null then used else list_append(used, got.det_id) end from (
     select cl.scene_id, cl.truth_id, cl.n, used, list_filter(cl.opts, lambda o: not list_contains(gr.used, o.det_id))[1] got from gr join cl on cl.scene_id=gr.scene_id and cl.n=gr.n+1) q)"""
 
+_SEPARATION = "lt_src as (select mmsi, t_us, sog from {ais})," + p.runs_sql("lt_src", "sog>5.0e0", "avg(sog) mean_sog", "lt") + """,
+bt as (select mmsi, run_start t0, last_true t1 from (select *, row_number() over (partition by mmsi order by last_true-run_start desc, run_start) k from lt) q where k=1),
+ow as (select a.mmsi, a.t_us, a.lat, a.lon, t0, t1, row_number() over (partition by a.mmsi order by a.t_us, a.event_id)-1 v, count(*) over (partition by a.mmsi) n from {ais} a join bt on bt.mmsi=a.mmsi and a.t_us between t0 and t1),
+mv as (select mmsi, t_us, lat, lon from {ais} where sog>1.0e0),
+en as (select bt.mmsi, count(*) filter (where mv.mmsi<>bt.mmsi) c from bt join mv on mv.t_us between t0-1800000000 and t1+1800000000 group by bt.mmsi),
+ds as (select o.mmsi, v, min(""" + p.dist_m("o.lat", "o.lon", "mv.lat", "mv.lon") + """)/1000.0e0 km from ow o join mv on mv.mmsi<>o.mmsi and mv.t_us between t0-1800000000 and t1+1800000000 where v%greatest(1,n//25)=0 and n>=3 group by o.mmsi, v),
+md as (select mmsi, count(*) samples, median(km) km from ds group by mmsi),
+ln as (select mmsi, any_value(n) n from ow group by mmsi)"""
+
 ORACLES: dict[str, str] = {
+    "track_separation": "with " + _SEPARATION + """ select ln.mmsi, case when n>=3 and coalesce(c,0)>=5 then coalesce(samples,0) else 0 end samples, round(case when n<3 then 0.0e0 when coalesce(c,0)<5 then 999.0e0 else km end,4) separation_km
+from ln left join en using (mmsi) left join md using (mmsi)""",
     "reference_match": "with recursive " + _GREEDY.strip() + " select scene_id, truth_id, got.det_id det_id, round(got.px,4) px from gr where got is not null",
     "hex_index": "with " + _hex("{ais}", "event_id", 7, "hx", "cell") + " select event_id, cell from hx",
     "hex_parents": "with " + _hex("{ais}", "event_id", 7, "hx", "cell") + "," + _UP + "," + _hex("cc", "n", 6, "hp", "parent") + " select parent, count(*) cells, cast(sum(n) as bigint) reports from hp group by parent",

@@ -111,3 +111,33 @@ def test_hex_cells_are_even_and_nest(spark):
     up = c.select(hexgrid.hex_level(hexgrid.hex_parent(F.col("cell"), 8))).distinct().collect()
     assert [r[0] for r in up] == [7]
     assert c.filter(F.abs(F.sin(F.radians("lat")) - F.sin(F.radians("la"))) * 6371.0088 > hexgrid.edge_km(8) * 1.0001).count() == 0
+
+
+def test_quantiles_by_refined_ranges(spark):
+    import numpy as np
+
+    from driftwake.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(3)
+    groups = {0: rng.lognormal(0, 3, 3001), 1: np.array([5.0]), 2: np.full(50, -2.5), 3: np.array([1e-300, 1e300, -1e300, 0.0, 7.0]), 4: rng.normal(size=400)}
+    d = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [(0, None), (9, None)], "g long, v double").repartition(5)
+    probs = (0.0, 0.25, 0.5, 0.95, 1.0)
+    got = {r.g: r for r in exact_quantiles(d, "v", probs, ["g"]).collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        assert got[g].n == len(xs) and got[g]["max"] == xs.max()
+        assert got[g].quantiles == pytest.approx(np.quantile(xs, probs).tolist(), rel=1e-12)
+    assert exact_quantiles(d.limit(0), "v", probs).count() == 0
+    assert matching.neighbour_distribution(d.limit(0).withColumnRenamed("v", "km")).first().n == 0
+
+
+def test_separation_is_not_capped_and_needs_company(spark):
+    def line(m, lat, n, lon=70.0, sog=9.0):
+        return [(m, i * 60_000_000, lat + i * 0.004, lon, sog, m * 1000 + i, None, None) for i in range(n)]
+
+    d = spark.createDataFrame(line(1, 10.0, 60) + line(2, 10.6, 60) + line(3, 10.0, 2, 75.0) + line(4, 40.0, 60, 10.0), AIS)
+    got = {r.mmsi: r for r in matching.track_separation(d).collect()}
+    assert 40 < got[1].separation_km < 67 and got[1].samples == 30
+    assert (got[3].samples, got[3].separation_km) == (0, 0.0) and got[4].separation_km > 4000
+    alone = matching.track_separation(spark.createDataFrame(line(1, 10.0, 60) + line(2, 10.6, 4), AIS)).collect()
+    assert {r.mmsi: r.separation_km for r in alone}[1] == 999.0
