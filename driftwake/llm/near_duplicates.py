@@ -16,8 +16,8 @@ GROUP = 32
 #: From how many bulletins on a token counts as frequent; a larger number is taken where the list would be too large to broadcast.
 FREQUENT = (24, 96, 384, 1536, 6144, 24576)
 U = np.uint64
-#: Hashes below which tokens are counted: what a link needs are the least quarter of a set's hashes.
-COUNTED = U(int(0.35 * 2**64))
+#: Hashes below which tokens are counted. A link needs the least quarter of a set's hashes, of small sets up to two fifths.
+COUNTED = U(1 << 63)
 
 
 def shingles(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
