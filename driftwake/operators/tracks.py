@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwake.config import DEFAULT, Config
 from driftwake.functions import geo
-from driftwake.operators.ordered import HOUR_US, neighbours, runs, time_bucket
+from driftwake.operators.ordered import HOUR_US, TRACK_BUCKET_US, neighbours, runs, time_bucket
 
 FIX = ["t_us", "lat", "lon", "sog"]
 SLOT_US = HOUR_US
@@ -126,6 +128,26 @@ def track_intervals(ais: DataFrame) -> DataFrame:
                     first.sog.alias("sog0"), F.col("sog").alias("sog1"))
 
 
+def reports_for(ais: DataFrame, spans: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The reports that tracks need to be right inside the spans of time asked for (t_lo, t_hi; per vessel with ``by`` mmsi).
+
+    Ranges of six hours that a span touches keep all their reports. Of every other range a vessel keeps its first and last report, found
+    by map-side aggregation, since a silence may reach from there into a span. Vessels that nobody asks about are left out.
+    What tracks say outside the spans is not meant to be read.
+    """
+    keys = [*by, "_bucket"]
+    slots = F.sequence(F.floor(F.col("t_lo") / TRACK_BUCKET_US), F.floor(F.col("t_hi") / TRACK_BUCKET_US))
+    asked = spans.select(*by, F.explode(slots).alias("_bucket")).distinct().withColumn("_asked", F.lit(True))
+    d = ais.select("mmsi", *FIX).withColumn("_bucket", time_bucket("t_us"))
+    if by:
+        d = d.join(spans.select(*by).distinct(), list(by), "left_semi")
+    d = d.join(asked, keys, "left")
+    fix = F.struct(*FIX)
+    ends = d.filter("_asked is null").groupBy("mmsi", "_bucket").agg(F.min_by(fix, "t_us").alias("a"), F.max_by(fix, "t_us").alias("b"))
+    ends = ends.select("mmsi", F.explode(F.array_distinct(F.array("a", "b"))).alias("f")).select("mmsi", "f.*")
+    return d.filter("_asked").select("mmsi", *FIX).unionByName(ends)
+
+
 def lerp(a: str, b: str, ts: Column) -> Column:
     f = F.when(F.col("t1") > F.col("t0"), (ts - F.col("t0")) / (F.col("t1") - F.col("t0"))).otherwise(0.0)
     return F.col(a) + (F.col(b) - F.col(a)) * f
@@ -142,7 +164,8 @@ def position_at(ais: DataFrame, probes: DataFrame, ts: str = "ts_us", slot_us: i
     Pieces are exploded to time slots, so the range join becomes a hash join on (mmsi, slot)
     and a hot vessel spreads over its slots.
     """
-    pieces = track_intervals(ais).withColumn(
+    spans = probes.select("mmsi", F.col(ts).alias("t_lo"), F.col(ts).alias("t_hi"))
+    pieces = track_intervals(reports_for(ais, spans, ["mmsi"])).withColumn(
         "slot", F.explode(F.sequence(F.floor(F.col("t0") / slot_us), F.floor(F.col("t1") / slot_us))))
     t = F.col(ts)
     joined = probes.withColumn("slot", F.floor(t / slot_us)).join(pieces, ["mmsi", "slot"]).filter(covers(t))

@@ -141,3 +141,27 @@ def test_separation_is_not_capped_and_needs_company(spark):
     assert (got[3].samples, got[3].separation_km) == (0, 0.0) and got[4].separation_km > 4000
     alone = matching.track_separation(spark.createDataFrame(line(1, 10.0, 60) + line(2, 10.6, 4), AIS)).collect()
     assert {r.mmsi: r.separation_km for r in alone}[1] == 999.0
+
+
+def test_pruned_reports_give_the_same_positions(spark):
+    """Probes far apart, silences that reach over whole ranges of time, and vessels nobody asks about."""
+    import numpy as np
+
+    rng = np.random.default_rng(14)
+    rows, tracks_of = [], {}
+    for m in range(8):
+        t = np.unique(np.concatenate([rng.integers(0, 400 * HOUR, 40), rng.integers(100 * HOUR, 103 * HOUR, 30)]))
+        lat, lon = np.cumsum(rng.normal(0, 0.05, len(t))) + 15, np.cumsum(rng.normal(0, 0.05, len(t))) + 70
+        tracks_of[m] = (t, lat, lon)
+        rows += [(m, int(a), float(b), float(c), 5.0, m * 1000 + i, None, None) for i, (a, b, c) in enumerate(zip(t, lat, lon, strict=True))]
+    ais = spark.createDataFrame(rows, AIS)
+    probes = [(m, int(x)) for m in range(6) for x in rng.integers(0, 400 * HOUR, 12)]
+    got = {(r.mmsi, r.ts_us): (r.lat, r.lon) for r in tracks.position_at(ais, spark.createDataFrame(probes, "mmsi long, ts_us long")).collect()}
+    want = {(m, x): (float(np.interp(x, tracks_of[m][0], tracks_of[m][1])), float(np.interp(x, tracks_of[m][0], tracks_of[m][2]))) for m, x in probes if tracks_of[m][0][0] <= x <= tracks_of[m][0][-1]}
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-9)
+    span = spark.createDataFrame([(101 * HOUR, 102 * HOUR)], "t_lo long, t_hi long")
+    kept = tracks.reports_for(ais, span).count()
+    inside = sum(96 * HOUR <= t < 102 * HOUR + 6 * HOUR for m in range(8) for t in tracks_of[m][0].tolist())
+    assert kept < len(rows) and kept >= inside - 8 * 40
