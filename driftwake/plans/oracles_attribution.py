@@ -94,7 +94,7 @@ select r.incident_id, r.mmsi, concat_ws(' | ', printf('Track met the origin area
  printf('Areas differ by a factor of %.2f.', 1/greatest(area_ratio,1e-6)), case when vt is not null then printf('Reported type: %s.', vt) end,
  case when gap_coincidence then 'No reports near the release time.' end, case when prior_offences>0 then printf('Earlier offences on file: %d.', prior_offences) end,
  case when abs(trust_prior-1)>1e-9 then printf('Weight %s for trust (%.2fx).', case when trust_prior>1 then 'raised' else 'lowered' end, trust_prior) end,
- case when abs(behaviour_prior-1)>1e-9 then printf('Weight %s for behaviour (%.2fx).', case when behaviour_prior>1 then 'raised' else 'lowered' end, behaviour_prior) end,
+ case when abs(behaviour_prior-1)>1e-9 then printf('Weight %s for behaviour (%.2fx).', case when behaviour_prior>1 then 'raised' else 'lowered' end, round(behaviour_prior,9)) end,
  case when abs(type_risk_prior-1)>1e-9 then printf('Weight %s for vessel-type risk (%.2fx).', case when type_risk_prior>1 then 'raised' else 'lowered' end, type_risk_prior) end) rationale
 from ranked r join cands c on c.incident_id=r.incident_id and c.mmsi=r.mmsi""",
     "wind_statistics": "select field_id, round(avg(s),6) mean_speed_ms, round(min(s),6) min_speed_ms, round(max(s),6) max_speed_ms, round(avg(case when wind_u is null then 1.0e0 else 0.0e0 end),6) missing_fraction, round(avg(case when s between 3 and 10 then 1.0e0 when s is not null then 0.0e0 end),6) fraction_in_band from (select *, sqrt(wind_u*wind_u+wind_v*wind_v) s from {env}) q group by field_id",
